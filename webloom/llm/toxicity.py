@@ -3,11 +3,11 @@
 Folding lowers case, maps homoglyphs and digits that stand for letters, and
 drops invisible characters, so that disguised words meet the entries.  Entries
 are words or word beginnings.  They come from a seed list and from labelled
-rows: a greedy cover picks the beginnings that mark toxic rows and spare the
-others, and their smoothed log odds are the weights.  Word pairs around an
-entry that occur in clean rows only become exception phrases, whose hits don't
-count.  A text's sum of weights is divided by the logarithm of its length, and
-a logistic curve fitted on the same labelled rows makes it a probability.
+rows: a matching pursuit picks beginnings one by one for what they explain of
+the labels, and their weights are those of a logistic curve refitted after each
+choice.  Word pairs around an entry that occur in clean rows only become
+exception phrases, whose hits don't count.  A text's sum of weights is divided
+by the logarithm of its length; the same curve makes it a probability.
 
 Labels are read for at most ``MAX_ROWS`` rows, those with the smallest hash of
 their id (a documented bound); scoring covers all rows and whole texts.
@@ -23,7 +23,7 @@ import json
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,9 +36,14 @@ from pyspark.sql import types as T
 from .common import fields, id_crc, map_arrow, slices
 
 #: Labelled rows that are read for learning, at most.
-MAX_ROWS = 12_000
-#: A chosen entry marks at least so many toxic rows that no other entry explains, and this share of them.
-MIN_ROWS, MIN_SHARE = 5, 0.004
+MAX_ROWS = 16_000
+#: A candidate is found in at least so many toxic rows, and this share of them, with at least these log odds.
+MIN_ROWS, MIN_SHARE, MIN_ODDS = 5, 0.006, 1.2
+#: Candidates and entries at most, with the log likelihood that an entry must add.
+MAX_CANDIDATES, MAX_ENTRIES, MIN_GAIN = 4_000, 80, 6.0
+RIDGE = 0.02
+#: Share of the toxic rows that makes a candidate found in hardly any other row an entry in any case.
+SURE_SHARE = 0.05
 #: Lengths of word beginnings that may become entries.
 SHORTEST, LONGEST = 3, 12
 THRESHOLD = 0.3
@@ -106,17 +111,17 @@ class Lexicon:
         return made
 
     def hits(self, words: list[str], automaton) -> list[tuple[int, str]]:
-        """Offsets in the joined words, and entries; the longest entry of a word counts once."""
+        """Offsets in the joined words, and entries."""
         if not words or not len(automaton):
             return []
-        found, spared = {}, []
+        found, spared = [], []
         for end, (kind, n, entry) in automaton.iter(f" {' '.join(words)} "):
             start = end - n + 1
-            if not kind:
+            if kind:
+                found.append((start, entry))
+            else:
                 spared.append((start, end))
-            elif start not in found or len(found[start]) < len(entry):
-                found[start] = entry
-        return [(at, e) for at, e in found.items() if not any(a <= at < b for a, b in spared)]
+        return [(at, e) for at, e in found if not any(a <= at < b for a, b in spared)] if spared else found
 
     def strength(self, hits: list[tuple[int, str]], n_words: int) -> float:
         return sum(self.entries[e] for _, e in hits) / math.log2(4 + n_words)
@@ -166,49 +171,73 @@ def learn(train: DataFrame) -> Lexicon:
     if pos_n < MIN_ROWS or neg_n < MIN_ROWS:
         return lex
     odds = F.log((F.col("pos") + 0.5) / (pos_n + 1)) - F.log((F.col("neg") + 0.5) / (neg_n + 1))
-    likely = _counts(train).where((F.col("pos") >= MIN_ROWS) & (odds > 3.0)).orderBy(F.desc("pos"), "entry").limit(50_000)
-    counts = {r.entry: (r.pos, r.neg) for r in likely.collect()}
-    seeds = tuple(lex.entries)
-
-    def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [sorted(beginnings(set(folded(t))) & counts.keys()) if y else None for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r for r in rows if r], pa.list_(pa.string()))], names=["found"])
-
-    rows = [set(r.found) for r in map_arrow(train.where("label = 1"), marks, T.StructType([T.StructField("found", T.ArrayType(T.StringType()))])).toLocalIterator()]
-    where = defaultdict(set)
-    for i, r in enumerate(rows):
-        for e in r:
-            where[e].add(i)
-    chosen, left = [], set(range(len(rows)))
     least = max(MIN_ROWS, MIN_SHARE * pos_n)
-    while left and where:
-        gain = {e: len(where[e] & left) for e in where}
-        best = max(gain, key=lambda e: (gain[e] - 20 * counts[e][1], len(e), e))
-        if gain[best] < least:
-            break
-        # A longer beginning that loses hardly a row is safer in texts not seen yet.
-        longer = [e for e in where if e.startswith(best) and gain[e] >= 0.97 * gain[best] and counts[e][1] <= counts[best][1]]
-        best = max([best, *longer], key=lambda e: (len(e), e))
-        chosen.append(best)
-        left -= where.pop(best)
-    # What else marks as many rows as a chosen entry: other members of the same vocabulary.
-    floor = max(3 * MIN_ROWS, 0.02 * pos_n)
-    for e in sorted(where, key=lambda e: (-len(where[e]), len(e), e)):
-        p, n = counts[e]
-        related = any(e.startswith(c) or c.startswith(e) for c in chosen)
-        if p >= floor and n * 50 <= p and not related:
-            longer = [x for x in where if x.startswith(e) and len(where[x]) >= 0.97 * p]
-            chosen.append(max([e, *longer], key=lambda x: (len(x), x)))
-    for e in (*chosen, *seeds):
-        p, n = counts.get(e, (0, 0))
-        w = math.log((p + 0.5) / (pos_n + 1)) - math.log((n + 0.5) / (neg_n + 1)) if p else SEED_WEIGHT
-        lex.entries[e] = round(max(0.5, min(10.0, w)), 6)
+    likely = _counts(train).where((F.col("pos") >= least) & (odds > MIN_ODDS)).orderBy(F.desc(odds * F.col("pos")), "entry").limit(MAX_CANDIDATES)
+    counts = {r.entry: (r.pos, r.neg) for r in likely.collect()}
+    names = sorted(counts.keys() | lex.entries.keys())
+    index = {e: i for i, e in enumerate(names)}
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Candidate hits of each row, each divided by the logarithm of its length."""
+        rows = []
+        for t in batch.column(0).to_pylist():
+            words = folded(t)
+            c = Counter(w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1) if w[:k] in index)
+            rows.append([(index[e], n / math.log2(4 + len(words))) for e, n in sorted(c.items())])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float64()))], names=["label", "at", "x"])
+
+    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    rows = sorted((r.label, tuple(r.at), tuple(r.x)) for r in map_arrow(train, found, schema).toLocalIterator())
+    y = np.array([r[0] for r in rows], float)
+    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    col = np.array([i for r in rows for i in r[1]], np.int64)
+    val = np.array([x for r in rows for x in r[2]])
+    sure = {e: p for e, (p, n) in counts.items() if p >= SURE_SHARE * pos_n and 50 * n <= p}
+    chosen, weights, offset = _pursuit(y, row, col, val, names, sure)
+    lex.entries = {e: SEED_WEIGHT for e in lex.entries if not (col == index[e]).any()}
+    lex.entries |= {names[i]: round(float(w), 6) for i, w in zip(chosen, weights, strict=True) if w > 0}
+    lex.slope, lex.offset = 1.0, round(float(offset), 6)
     lex.exceptions |= _exceptions(train, lex)
-    x, y = _strengths(train, lex)
-    lex.slope, lex.offset = _curve(x, y)
     return lex
 
 
+def _pursuit(y: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, names: list[str], sure: dict[str, int]) -> tuple[list[int], np.ndarray, float]:
+    """Entries chosen one by one for what they explain of the labels, with refitted logistic weights and offset."""
+    n, m = len(y), len(names)
+    chosen: list[int] = []
+    dense = np.ones((n, 1))
+    w = np.array([math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))])
+    barred = np.zeros(m, bool)
+    for _ in range(MAX_ENTRIES):
+        p = 1 / (1 + np.exp(-np.clip(dense @ w, -40, 40)))
+        up = np.bincount(col, (y - p)[row] * val, m)
+        down = np.bincount(col, (p * (1 - p))[row] * val * val, m) + RIDGE
+        gain = np.where((up > 0) & ~barred, up * up / down / 2, 0)
+        best = int(gain.argmax())
+        if gain[best] < MIN_GAIN:
+            break
+        # A longer beginning that explains as much is safer in texts not seen yet.
+        longer = [i for i in np.flatnonzero(gain >= 0.98 * gain[best]) if names[i].startswith(names[best])]
+        best = max(longer, key=lambda i: (len(names[i]), gain[i]))
+        x = np.zeros(n)
+        x[row[col == best]] = val[col == best]
+        chosen.append(best)
+        barred[best] = True
+        dense = np.column_stack([dense, x])
+        w = _fit(dense, y, np.append(w, 0.0))
+    # Entries that are as telling but always stand beside chosen ones explain nothing more here; alone in a text they would.
+    for e in sorted(sure, key=lambda e: (-sure[e], -len(e), e)):
+        if not any(e.startswith(names[i]) or names[i].startswith(e) for i in chosen):
+            at = names.index(max((x for x in sure if x.startswith(e) and sure[x] >= 0.98 * sure[e]), key=len))
+            x = np.zeros(n)
+            x[row[col == at]] = val[col == at]
+            chosen.append(at)
+            dense = np.column_stack([dense, x])
+            w = np.append(w, max(w[1:], default=SEED_WEIGHT))
+    w = _fit(dense, y, w)
+    return chosen, w[1:], w[0]
+
+
 def _exceptions(train: DataFrame, lex: Lexicon, least: int = 4) -> set[str]:
     """Word pairs around hits that ``least`` clean rows hold and no toxic row."""
 
@@ -231,31 +260,18 @@ def _exceptions(train: DataFrame, lex: Lexicon, least: int = 4) -> set[str]:
     return {r.pair for r in rows.orderBy(F.desc("n"), "pair").limit(1000).collect()}
 
 
-def _strengths(train: DataFrame, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        auto, out = lex.automaton(), []
-        for t in batch.column(0).to_pylist():
-            words = folded(t)
-            out.append(lex.strength(lex.hits(words, auto), len(words)))
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(1)], names=["x", "label"])
-
-    rows = map_arrow(train, run, T.StructType([T.StructField("x", T.DoubleType()), T.StructField("label", T.IntegerType())])).groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "label").collect()
-    return np.repeat([r.x for r in rows], [r.n for r in rows]), np.repeat([r.label for r in rows], [r.n for r in rows])
-
-
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton's method with a small ridge on the slope."""
-    a = np.stack([x, np.ones_like(x)], 1)
-    w = np.array([1.0, -2.0])
-    for _ in range(50):
+def _fit(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logistic weights by Newton's method; the first column is the offset and bears no ridge."""
+    ridge = np.full(a.shape[1], RIDGE)
+    ridge[0] = 1e-6
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        grad = a.T @ (p - y) + [ridge * w[0], 0]
-        hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-6])
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        grad = a.T @ (p - y) + ridge * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), grad)
+        w = w - np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-6:
             break
-    return float(round(w[0], 9)), float(round(w[1], 9))
+    return w
 
 
 def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
