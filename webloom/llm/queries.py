@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, sharding, toxicity
+from . import bpe, jaccard, pii, quality, sharding, toxicity
 from .common import id_crc, table
 
 
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     n = [pii.counted("spans", k).alias(f"n_{k}") for k in pii.BASE]
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_bpe, op5_quality, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op4_bpe, op5_quality, op6_jaccard, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
