@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, pii, quality, sharding, toxicity
+from . import bpe, jaccard, pii, quality, sharding, suffix, toxicity
 from .common import id_crc, table
 
 
@@ -38,6 +38,11 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     n = [pii.counted("spans", k).alias(f"n_{k}") for k in pii.BASE]
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_bpe, op5_quality, op6_jaccard, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op4_bpe, op5_quality, op6_jaccard, op7_suffix, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
