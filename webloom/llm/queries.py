@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, pii, quality, sharding, suffix, toxicity
+from . import bpe, jaccard, maxent, pii, quality, sharding, suffix, toxicity
 from .common import id_crc, table
 
 
@@ -23,6 +23,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", maxent.held_out())
+    return maxent.score(docs, docs.where("NOT held_out"), extra=("held_out",))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_bpe, op5_quality, op6_jaccard, op7_suffix, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op3_maxent, op4_bpe, op5_quality, op6_jaccard, op7_suffix, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
