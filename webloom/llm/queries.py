@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, maxent, pii, quality, sharding, suffix, toxicity
+from . import bpe, jaccard, maxent, mixing, mixing_sql, pii, quality, sharding, suffix, toxicity
 from .common import id_crc, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing_sql
+    return mixing.chosen(table(spark, sf_dir, "documents"), p.levels(), p.weights(), share=p.SHARE, epochs=p.EPOCHS, seed=p.SEED)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 8).select(
@@ -61,8 +66,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_maxent, op4_bpe, op5_quality, op6_jaccard, op7_suffix, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_maxent, op4_bpe, op5_quality, op6_jaccard, op7_suffix, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing_sql.SQL}
