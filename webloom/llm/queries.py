@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, maxent, mixing, mixing_sql, pii, quality, sharding, suffix, toxicity
+from . import bpe, jaccard, maxent, mixing, mixing_sql, neighbours, pii, quality, sharding, suffix, toxicity
 from .common import id_crc, table
 
 
@@ -53,6 +53,12 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     n = [pii.counted("spans", k).alias(f"n_{k}") for k in pii.BASE]
@@ -66,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_maxent, op4_bpe, op5_quality, op6_jaccard, op7_suffix, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_maxent, op4_bpe, op5_quality, op6_jaccard, op7_suffix, op8_neighbours, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
