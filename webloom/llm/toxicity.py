@@ -293,6 +293,22 @@ def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "tex
     return map_arrow(df.select(key, text), run, schema)
 
 
+def reject(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, whose score is below ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = lexicon.automaton()
+        for whole in batches:
+            for batch in slices(whole):
+                keep = []
+                for t in batch.column(text).to_pylist():
+                    words = folded(t)
+                    keep.append(lexicon.probability(lexicon.strength(lexicon.hits(words, auto), len(words))) < threshold)
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def training_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The label rows that may be learned from: crc32 of the id mod 4 is not 2."""
     return labels.where(id_crc(key) % 4 != 2)
