@@ -12,6 +12,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from . import urls
@@ -50,7 +51,7 @@ def stripped(page: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(page, SILENT, ""), TAG, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: html.unescape(x) if x else x)
 

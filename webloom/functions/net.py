@@ -8,6 +8,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from .bind import let
 
 # Blocks that count as private.
 PRIVATE = ("127.0.0.0/8", "::1/128", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "fe80::/10", "0.0.0.0/8", "255.255.255.255/32", "fc00::/7")
@@ -17,9 +20,12 @@ _V4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-
 
 def ipv4(address: Column) -> Column:
     """The number of a dotted IPv4 address, or null."""
-    p = F.split(address, r"\.")
-    part = lambda i: F.try_element_at(p, F.lit(i + 1)).try_cast("long")
-    return F.when(address.rlike(_V4), part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3))
+
+    def number(a: Column) -> Column:
+        parts = F.transform(F.split(a, r"\."), lambda x: x.cast("long"))
+        return F.when(a.rlike(_V4), F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x))
+
+    return let(address, number)
 
 
 def is_private(address: Column, blocks: Sequence[str] = PRIVATE) -> Column:
@@ -31,7 +37,7 @@ def is_private(address: Column, blocks: Sequence[str] = PRIVATE) -> Column:
     four = [n for n in nets if n.version == 4]
     six = [n for n in nets if n.version == 6]
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def ipv6(a: pd.Series) -> pd.Series:
         def one(x: str | None) -> bool | None:
             if x is None:
@@ -46,11 +52,13 @@ def is_private(address: Column, blocks: Sequence[str] = PRIVATE) -> Column:
 
         return pd.Series([one(x) for x in a], dtype=object)
 
-    number = ipv4(address)
-    inside = F.lit(False)
-    for n in four:
-        inside = inside | number.between(int(n.network_address), int(n.broadcast_address))
-    return F.when(number.isNotNull(), inside).otherwise(ipv6(F.when(address.contains(":"), address)))
+    def inside(number: Column) -> Column:
+        found = F.lit(False)
+        for n in four:
+            found = found | number.between(int(n.network_address), int(n.broadcast_address))
+        return F.when(number.isNotNull(), found)
+
+    return F.coalesce(let(ipv4(address), inside), ipv6(F.when(address.contains(":"), address)))
 
 
 def resolve_hosts(df: DataFrame, host: str, resolver: DataFrame | None, out: str = "private", blocks: Sequence[str] = PRIVATE) -> DataFrame:

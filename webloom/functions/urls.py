@@ -7,6 +7,9 @@ from urllib.parse import quote, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .bind import let
 
 # Endings of URLs that hold no HTML.
 SKIPPED = ("jpg", "jpeg", "png", "gif", "ico", "css", "js")
@@ -32,7 +35,7 @@ def without_fragment(url: Column) -> Column:
 
 def with_slash(url: Column) -> Column:
     """A base address ends in a slash; an empty one is no base."""
-    return F.when(F.length(url) > 0, F.when(url.endswith("/"), url).otherwise(F.concat(url, F.lit("/"))))
+    return F.regexp_replace(F.nullif(url, F.lit("")), "/?$", "/")
 
 
 def is_page(url: Column) -> Column:
@@ -44,8 +47,7 @@ def is_web(url: Column) -> Column:
     return scheme(url).isin("http", "https")
 
 
-@F.pandas_udf("string")
-def _resolve(base: pd.Series, target: pd.Series) -> pd.Series:
+def _absolute(base: pd.Series, target: pd.Series) -> pd.Series:
     def one(b: str | None, t: str | None) -> str | None:
         if not b or not t:
             return None
@@ -62,6 +64,10 @@ def _resolve(base: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([one(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
 
 
+# Not deterministic to the planner, so that it runs once for each row and is not copied into later expressions.
+_resolve = F.pandas_udf(_absolute, StringType()).asNondeterministic()
+
+
 def resolve(base: Column, target: Column) -> Column:
     """``target`` as an absolute URL: empty is null, ``//host`` takes the scheme, the rest by RFC 3986.
 
@@ -69,12 +75,16 @@ def resolve(base: Column, target: Column) -> Column:
     JVM; only others (relative paths, dot segments, characters to escape) go
     through Arrow.
     """
-    plain = target.rlike(r"^[!-~]+$") & ~target.rlike(r"(^|/)\.\.?(/|$|\?|#)") & ~target.rlike(r'["<>\\^`{|}]')
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    native = (
-        F.when(plain & target.startswith("//"), F.concat(scheme(base), F.lit(":"), target))
-        .when(plain & target.rlike(_SCHEME), target)
-        .when(plain & target.startswith("/") & (F.length(root) > 0), F.concat(root, target))
-    )
-    rest = native.isNull() & (F.length(target) > 0)
-    return F.coalesce(native, _resolve(F.when(rest, base), F.when(rest, target)))
+
+    def native(p: Column) -> Column:
+        b, t = p["b"], p["t"]
+        plain = t.rlike(r"^[!-~]+$") & ~t.rlike(r"(^|/)\.\.?(/|$|\?|#)") & ~t.rlike(r'["<>\\^`{|}]')
+        root = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        return F.when(plain, F.when(t.startswith("//"), F.concat(scheme(b), F.lit(":"), t)).when(t.rlike(_SCHEME), t).when(t.startswith("/") & (F.length(root) > 0), F.concat(root, t)))
+
+    def rest(p: Column) -> Column:
+        return F.when(native(p).isNull() & (F.length(p["t"]) > 0), p)
+
+    pair = F.struct(base.alias("b"), target.alias("t"))
+    other = let(pair, rest)
+    return F.coalesce(let(pair, native), _resolve(other["b"], other["t"]))
