@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.bind import let
+
 PAGE = 10
 
 # English words that are not indexed.
@@ -83,8 +85,12 @@ def has_phrase(words: Column, terms: list[str]) -> Column:
         return F.lit(False)
     n = len(terms)
     wanted = F.array(*map(F.lit, terms))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.array_contains(words, terms[0]) & F.exists(starts, lambda i: F.slice(words, i, n) == wanted)
+
+    def found(held: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(held) - n + 1, F.lit(1)))
+        return F.array_contains(held, terms[0]) & F.exists(starts, lambda i: F.slice(held, i, n) == wanted)
+
+    return let(words, found)
 
 
 def search(docs: DataFrame, query: Query, key: str = "link_id", fields: tuple[str, ...] = ("title", "content"), rank: str = "rank", stop: bool = True) -> DataFrame:

@@ -298,7 +298,7 @@ def _rank_sql(graph: str, steps: int, tolerance: float | None = None) -> str:
     out = [f"WITH {graph}, n AS (SELECT count(*)::DOUBLE AS n FROM v), deg AS (SELECT src, count(*) AS d FROM e GROUP BY src)", "r0 AS MATERIALIZED (SELECT id, 1 / n AS score, false AS done FROM v, n)"]
     for k in range(1, steps + 1):
         p = f"r{k - 1}"
-        new = f"(SELECT id, (1 - 0.85) / n.n + 0.85 * (coalesce(m.s, 0) + x.res) AS score FROM v CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(score), 0) / max(n) AS res FROM {p}, n WHERE id NOT IN (SELECT src FROM deg)) x LEFT JOIN (SELECT dst, sum(score / d) AS s FROM e JOIN {p} ON src = id JOIN deg USING (src) GROUP BY dst) m ON m.dst = v.id)"
+        new = f"(SELECT id, (1 - 0.85) / n.n + 0.85 * (coalesce(m.s, 0) + x.res) AS score FROM v CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(score) / max(n), 0) AS res FROM {p}, n WHERE id NOT IN (SELECT src FROM deg)) x LEFT JOIN (SELECT dst, sum(score / d) AS s FROM e JOIN {p} ON src = id JOIN deg USING (src) GROUP BY dst) m ON m.dst = v.id)"
         out.append(f"u{k} AS MATERIALIZED {new}")
         if tolerance is None:
             out.append(f"r{k} AS MATERIALIZED (SELECT id, score, false AS done FROM u{k})")
@@ -366,7 +366,7 @@ def coloring_users(spark, sf_dir):
     done = coloring.color(v, e)
     most = coloring.symmetric(e.where("src <> dst")).distinct().groupBy("src").count().agg(F.max("count")).first()[0] or 0
     bad = coloring.conflicts(done.vertices, e).count()
-    return done.vertices.agg(F.count(F.lit(1)).alias("vertices"), F.count_if("color > 0").alias("colored"), F.lit(bad).cast("long").alias("conflicts"), (F.max("color") <= most + 1).alias("within_bound"))
+    return done.vertices.agg(F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("color") > 0).alias("colored"), F.lit(bad).cast("long").alias("conflicts"), (F.max("color") <= most + 1).alias("within_bound"))
 
 
 # ---------------------------------------------------------------- search
