@@ -3,8 +3,8 @@
 ``P(word | context) = P(class | context) * P(word | class)``.  Frequent words
 are classes of their own, other words share classes by their endings.  The
 class distribution is a softmax over hashed features of the context (previous
-word, pair of previous classes, word before the last as a skip, and the class
-before that); the distribution within a class follows the counts of all
+word, pair of previous classes, and the word before the last as a skip); the
+distribution within a class follows the counts of all
 training words, with one unseen word in reserve, so that probabilities add up
 to one over the vocabulary and one unseen word in each class.
 
@@ -38,14 +38,14 @@ from .common import fields, id_crc, materialize, slices
 #: Words whose counts every task holds, at most.
 TOP = 1 << 17
 #: Classes: single frequent words, endings, and one for the end of a text.
-SINGLES, ENDINGS = 64, 63
+SINGLES, ENDINGS = 24, 23
 CLASSES = SINGLES + ENDINGS + 1
 END = CLASSES - 1
 #: Rows of weights of each feature.
-ROWS = 1 << 12
-FEATURES = 4
+ROWS = 1 << 12  # all features' rows are numbered in 16 bits
+FEATURES = 3
 #: Tokens of one gradient step, and its rate.
-STEP, RATE = 4096, 0.5
+STEP, RATE = 2048, 0.5
 #: The first pass reads this share of the training texts.
 WARM = 8
 PRIOR = 0.1
@@ -116,16 +116,14 @@ def _context(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
         return y
 
     one, two = back(row, 1, ROWS - 1), back(row, 2, ROWS - 1)
-    c1, c2, c3 = (back(cls, k, END) for k in (1, 2, 3))
-    pair = (c1 * CLASSES + c2) * 40503 % 65521 % ROWS
-    far = (c3 * CLASSES + c1) * 30011 % 65521 % ROWS
-    return np.stack([one, ROWS + pair, 2 * ROWS + two, 3 * ROWS + far])
+    pair = (back(cls, 1, END) * CLASSES + back(cls, 2, END)) * 40503 % 65521 % ROWS
+    return np.stack([one, ROWS + pair, 2 * ROWS + two])
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = weights[at[0]]
+    z = weights.take(at[0], 0)
     for f in range(1, FEATURES):
-        z += weights[at[f]]
+        z += weights.take(at[f], 0)
     z += bias
     z -= z.max(1, keepdims=True)
     return z
@@ -137,9 +135,9 @@ def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias:
     p /= p.sum(1, keepdims=True)
     p[np.arange(len(cls)), cls] -= 1
     for f in range(FEATURES):
-        order = np.argsort(at[f], kind="stable")
+        order = np.argsort(at[f].astype(np.uint16), kind="stable")  # a radix sort
         rows, start, count = np.unique(at[f][order], return_index=True, return_counts=True)
-        grad = np.add.reduceat(p[order], start, axis=0)
+        grad = np.add.reduceat(p.take(order, 0), start, axis=0)
         square[rows] += (grad * grad).mean(1)
         weights[rows] -= (RATE / np.sqrt(square[rows] + 1e-6))[:, None] * grad
         touched[rows] += count
@@ -222,7 +220,7 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
                     for t in batch.column(0).to_pylist():
                         waiting.append(_codes(t, table))
                         held += len(waiting[-1])
-                        if held >= 8 * STEP:
+                        if held >= 4 * STEP:
                             learn()
                             waiting, held = [], 0
             if held:
