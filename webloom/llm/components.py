@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,12 +38,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     for _ in range(most):
         if not before[0]:
             break
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        last, edges = edges, materialize(_star(_star(edges, True), False), "edges")
         now = _mark(edges)
+        discard(last)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
+    # Stars are left: each node points to its root.
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def extended(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (node, root) with further ``links`` (a, b), found on its roots alone."""
+    a, b = (comp.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    rooted = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b").distinct()
+    more = materialize(components(rooted), "components")
+    up = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = comp.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(more.join(comp.select("node"), "node", "left_anti").select("node", "root"))

@@ -35,15 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, map_arrow, materialize, slices
-from .components import components
+from .common import discard, fields, map_arrow, materialize, slices
+from .components import components, extended
 
 WORDS = 5
 #: Similarity at least ``PERCENT`` / 100.
 PERCENT = 80
-#: Counters of the sketch, as a power of two; its merged form has one byte for each.
-SKETCH_BITS = 20
-SIGNATURE_BITS = 1024
+#: Counters of the sketch, as powers of two; its merged form has one byte for each.
+SKETCH_BITS = (18, 24)
+#: Bits of a set's bitmap: the power of two from twice its size on, in these bounds.
+SIGNATURE_BITS = (512, 1 << 17)
+#: Bits of the filter that spares texts without candidates an exchange.
+FILTER_BITS = 1 << 24
+#: Tiles of at most so many rows are compared together with others.
+SMALL = 48
 #: Rows of a tile that are compared in one block.
 BLOCK = 4096
 #: A tile expected to be larger than this is dealt over several tasks.
@@ -82,12 +87,51 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def signature(h: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
+def signature(h: np.ndarray) -> bytes:
+    """A bitmap of hashed shingles; halves laid over each other make the bitmap of half the bits."""
+    low, high = SIGNATURE_BITS
+    bits = min(high, max(low, 1 << (2 * len(h) - 1).bit_length()))
     flags = np.zeros(bits, bool)
     flags[(h & _U(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
 
 
+def _folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows x words) brought down to ``words``."""
+    while sig.shape[1] > words:
+        half = sig.shape[1] // 2
+        sig = sig[:, :half] | sig[:, half:]
+    return sig
+
+
+class _Bitmaps:
+    """The bitmaps of many sets, kept by length."""
+
+    def __init__(self, sigs: list[bytes]) -> None:
+        self.words = np.array([len(x) // 8 for x in sigs], np.int64)
+        self.at = np.zeros(len(sigs), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.at[rows] = np.arange(len(rows))
+            self.of[w] = np.frombuffer(b"".join([sigs[i] for i in rows.tolist()]), np.uint64).reshape(len(rows), w)
+
+    def overlap(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Bounds from above on the overlaps of sets ``a[i]`` and ``b[i]``, whose sizes are ``na`` and ``nb``."""
+        out = np.empty(len(a), np.int64)
+        kind = self.words[a] << 32 | self.words[b]
+        for k in np.unique(kind).tolist():
+            every = np.flatnonzero(kind == k)
+            wa, wb = k >> 32, k & 0xFFFFFFFF
+            w = min(wa, wb)
+            step = max(1, (1 << 20) // w)
+            for i in range(0, len(every), step):
+                m = every[i : i + step]
+                x, y = _folded(self.of[wa][self.at[a[m]]], w), _folded(self.of[wb][self.at[b[m]]], w)
+                out[m] = np.minimum(na[m] - np.bitwise_count(x & ~y).sum(1), nb[m] - np.bitwise_count(y & ~x).sum(1))
+        return out
+
+
 def needed(total: np.ndarray | int, percent: int = PERCENT):
     """The least overlap of two sets whose sizes add up to ``total``."""
     return -(-percent * total // (100 + percent))
@@ -102,10 +146,11 @@ def _sketch(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
         counts = np.zeros(1 << bits, np.uint32)
         some = False
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 1 << 22):
                 hs = [shingles(t, width) for t in batch.column(0).to_pylist()]
                 if hs:
-                    counts += np.bincount((np.concatenate(hs) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                    at, n = np.unique((np.concatenate(hs) >> _U(64 - bits)).astype(np.int64), return_counts=True)
+                    counts[at] += n.astype(np.uint32)
                     some = True
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([zlib.compress(counts[i * part : (i + 1) * part].tobytes(), 1) for i in range(blocks)], pa.binary())], names=["block", "counts"])
@@ -216,10 +261,10 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     rows = pairs.join(sig.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+        m = batch.num_rows
+        bitmaps = _Bitmaps([*batch.column("sa").to_pylist(), *batch.column("sb").to_pylist()])
         na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        most = np.minimum(na - np.bitwise_count(x & ~y).sum(1), nb - np.bitwise_count(y & ~x).sum(1))
-        ok = pa.array(most >= needed(na + nb, percent))
+        ok = pa.array(bitmaps.overlap(np.arange(m), m + np.arange(m), na, nb) >= needed(na + nb, percent))
         return pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return map_arrow(rows.select("a", "b", "na", "nb", "sa", "sb"), run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
@@ -228,7 +273,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``a, b`` of the pairs that link."""
     pairs = materialize(pairs, "pairs")
-    used = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "set", "id")
+    used = materialize(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "set", F.col("id").alias("rep")), "used")
+    texts = _likely(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), used).join(used, F.col("id").eqNullSafe(F.col("rep")))
 
     def arrays(batch: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh3_128_digest
@@ -237,8 +283,6 @@ def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
         ok = pa.array([xxh3_128_digest(h) == s for h, s in zip(made, batch.column("set").to_pylist(), strict=True)], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("node").filter(ok), pa.array(made, pa.binary()).filter(ok)], names=["node", "h"])
 
-    used = used.withColumnRenamed("id", "rep")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(used, F.col("id").eqNullSafe(F.col("rep")))
     sets = materialize(map_arrow(texts.select("node", "set", "text"), arrays, T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.BinaryType())])).dropDuplicates(["node"]), "sets")
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
 
@@ -254,95 +298,175 @@ def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
         keep = pa.array(ok, pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return map_arrow(rows.select("a", "b", "ha", "hb"), run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    links = materialize(map_arrow(rows.select("a", "b", "ha", "hb"), run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), "links")
+    discard(pairs, used, sets)
+    return links
+
+
+def _likely(docs: DataFrame, used: DataFrame) -> DataFrame:
+    """``docs`` (id, text) without most of the rows whose id isn't a ``rep`` of ``used``.
+
+    A bitmap of ``FILTER_BITS`` hashed ids; however full it is, no row is lost,
+    as the join that follows decides.
+    """
+    place = F.pmod(F.xxhash64(F.lit(1), F.col("rep")), F.lit(FILTER_BITS)).cast("int")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            flags[batch.column(0).to_numpy()] = True
+        if flags.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in used.select(place.alias("p")).mapInArrow(mark, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            ok = pa.array(flags[p >> 3] >> (7 - (p & 7)) & 1 > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], names=["id", "text"]).filter(ok)
+
+    mine = docs.select("id", "text", F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(FILTER_BITS)).cast("int").alias("p"))
+    return mine.mapInArrow(keep, docs.schema)
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in the blocks of tiles, as far as sizes and bitmaps allow links."""
 
-    def compare(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(group).combine_chunks()
+    def given(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def few(t: pa.Table, run_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs within runs of few rows, for many runs at once."""
+        n, node, comp = (t.column(c).to_numpy() for c in ("n", "node", "comp"))
+        left, right = [], []
+        for d in range(1, SMALL):
+            i = np.flatnonzero(run_[d:] == run_[:-d])
+            if not len(i):
+                break
+            j = i + d
+            small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (comp[i] != comp[j]) & (100 * small >= percent * big)
+            left.append(i[ok])
+            right.append(j[ok])
+        yield from decide(t, np.concatenate([*left, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.empty(0, np.int64)]).astype(np.int64), n, node)
+
+    def decide(t: pa.Table, i: np.ndarray, j: np.ndarray, n: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(i):
+            return
+        # Nodes meet in many tiles: each pair of a batch is looked at once.
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        order = np.lexsort((b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        i, j = i[order[new]], j[order[new]]
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        bitmaps = _Bitmaps(t.column("sig").take(pa.array(used)).to_pylist())
+        keep = bitmaps.overlap(at[: len(i)], at[len(i) :], n[i], n[j]) >= needed(n[i] + n[j], percent)
+        if keep.any():
+            yield given(node[i[keep]], node[j[keep]])
+
+    def many(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """One large run, or two blocks of one."""
         n, node, comp, own = (t.column(c).to_numpy() for c in ("n", "node", "comp", "own"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(n), -1)
-        one = bool((own == own[0]).all()) and t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        one = t.column("x")[0].as_py() == t.column("y")[0].as_py()
         left = np.arange(len(n)) if one else np.flatnonzero(own == 0)
         right = left if one else np.flatnonzero(own == 1)
         step = max(1, (1 << 18) // max(1, len(right)))
-        for i in range(0, len(left), step):
-            p = left[i : i + step]
+        for k in range(0, len(left), step):
+            p = left[k : k + step]
             small, big = np.minimum(n[p][:, None], n[right][None]), np.maximum(n[p][:, None], n[right][None])
             ok = (comp[p][:, None] != comp[right][None]) & (100 * small >= percent * big)
             if one:
                 ok &= p[:, None] < right[None]
             u, v = np.nonzero(ok)
-            u, v = p[u], right[v]
-            for k in range(0, len(u), 1 << 16):
-                a, b = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
-                most = np.minimum(n[a] - np.bitwise_count(sig[a] & ~sig[b]).sum(1), n[b] - np.bitwise_count(sig[b] & ~sig[a]).sum(1))
-                keep = most >= needed(n[a] + n[b], percent)
-                if keep.any():
-                    x, y = node[a[keep]], node[b[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            yield from decide(t, p[u], right[v], n, node)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
+        """Whole runs of equal (token, x, y); the last run of a batch waits for the next."""
+        wait: list[pa.RecordBatch] = []
+
+        def split(t: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            size = np.diff(np.append(0, ends))
+            x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
+            light = (size <= SMALL) & (x[ends - 1] == y[ends - 1])
+            label = np.repeat(np.arange(len(size)), size)
+            rows = np.flatnonzero(np.repeat(light, size))
+            if len(rows):
+                yield from few(t.take(pa.array(rows)).combine_chunks(), label[rows])
+            for r in np.flatnonzero(~light).tolist():
+                yield from many(t.slice(int(ends[r] - size[r]), int(size[r])).combine_chunks())
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            wait.append(batch)
             k = np.stack([batch.column(c).to_numpy() for c in ("token", "x", "y")])
             cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
-            edges = [0, *cut.tolist(), batch.num_rows]
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                mark = tuple(k[:, i])
-                if held and mark != now:
-                    yield from compare(held)
-                    held = []
-                now = mark
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from compare(held)
+            last = wait[-2] if len(wait) > 1 else None
+            opens = last is not None and any(last.column(c)[last.num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in ("token", "x", "y"))
+            if not len(cut) and not opens:
+                continue
+            hold = int(cut[-1]) if len(cut) else 0
+            t = pa.Table.from_batches([*wait[:-1], batch.slice(0, hold)]).combine_chunks()
+            key = np.stack([t.column(c).to_numpy() for c in ("token", "x", "y")])
+            yield from split(t, np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, t.num_rows))
+            wait = [batch.slice(hold)]
+        if wait:
+            t = pa.Table.from_batches(wait).combine_chunks()
+            key = np.stack([t.column(c).to_numpy() for c in ("token", "x", "y")])
+            yield from split(t, np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, t.num_rows))
 
     return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(rows, nodes, links)``.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(rows, nodes, links, components)``.
 
-    ``rows``: ``key, n, set`` of every row of ``docs``.  ``nodes``: ``node, id, n, set``
+    ``rows``: ``key, n, set`` of every row of ``docs``.  ``nodes``: ``node, id, n, set, sig``
     of every distinct set, ``id`` being its smallest key.  ``links``: ``a, b``, a
     set of links between nodes that joins exactly the components of all links.
+    ``components``: ``node, root`` of nodes with links.
     """
     docs = docs.select(key, text)
+    low, high = SKETCH_BITS
+    bits = min(high, max(low, (16 * docs.count()).bit_length()))
     levels = _sketch(docs, text, width, bits)
     sets = materialize(_sets(docs, key, text, width, percent, levels, bits), "shingles")
+    rows = materialize(sets.select(key, "n", "set"), "rows")
     one = sets.where("n > 0").groupBy("set").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("splits").alias("splits"), F.first("sig").alias("sig"))
-    nodes = materialize(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    tiles = materialize(_tiles(nodes, percent), "tiles")
+    whole = materialize(one.withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    discard(sets)
+    nodes = materialize(whole.select("node", "id", "n", "set", "sig"), "nodes")
+    tiles = materialize(_tiles(whole, percent), "tiles")
+    discard(whole)
     near = tiles.select(F.explode(F.array("prev", "pivot")).alias("p"), "node").where("p IS NOT NULL")
     # Tiles dealt over several tasks are tied together by their first rows.
     heads = tiles.where("head").groupBy("token").agg(F.min("node").alias("p"), F.max("deal").alias("most")).where("most > 0")
     near = near.unionByName(tiles.where("head").join(heads, "token").select("p", "node").where("p <> node"))
     pairs = near.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    first = materialize(_exact(_bounded(pairs, nodes, percent), docs, nodes, key, text, width, percent), "links")
-    comp = components(first)
-    held = tiles.select("token", "n", "node").join(comp.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    held = materialize(held, "held")
+    first = _exact(_bounded(pairs, nodes, percent), docs, nodes, key, text, width, percent)
+    comp = materialize(components(first), "components")
+    held = materialize(tiles.select("token", "n", "node").join(comp.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "held")
+    discard(tiles)
     mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 <> c1")
     mixed = mixed.select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    rows = held.join(mixed, "token").join(nodes.select("node", "sig"), "node")
+    put = held.join(mixed, "token").join(nodes.select("node", "sig"), "node")
     g = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("g", g).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("g", "other").alias("x"), F.greatest("g", "other").alias("y"), F.when(F.col("g") > F.col("other"), 1).otherwise(0).alias("own"), "n", "node", "comp", "sig")
-    more = _exact(_across(rows, percent).distinct(), docs, nodes, key, text, width, percent)
-    links = materialize(first.unionByName(more).distinct(), "links")
-    return sets.select(key, "n", "set"), nodes.select("node", "id", "n", "set"), links
+    put = put.withColumn("g", g).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    put = put.select("token", F.least("g", "other").alias("x"), F.greatest("g", "other").alias("y"), F.when(F.col("g") > F.col("other"), 1).otherwise(0).alias("own"), "n", "node", "comp", "sig")
+    more = _exact(_across(put, percent).distinct(), docs, nodes, key, text, width, percent)
+    discard(held)
+    return rows, nodes, first.unionByName(more), extended(comp, more)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``key, n_shingles, component_id`` (the smallest key reachable) of every row."""
-    rows, nodes, links = join(docs, key, text, **options)
-    comp = components(links)
+    rows, nodes, _, comp = join(docs, key, text, **options)
     named = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of = materialize(named.join(least, "root").select("set", "component_id"), "classes")
