@@ -278,7 +278,7 @@ def _near(seed, groups=12):
 @pytest.mark.parametrize("tight", [False, True])
 def test_jaccard(spark, docs, texts, monkeypatch, tight):
     if tight:  # small blocks, deals and signatures take every other path
-        for name, value in (("BLOCK", 3), ("SMALL", 1), ("TILE", 2), ("SIGNATURE_BITS", (64, 64)), ("FILTER_BITS", 64)):
+        for name, value in (("BLOCK", 3), ("SMALL", 1), ("TOGETHER", 1), ("TILE", 2), ("SIGNATURE_BITS", (64, 64)), ("FILTER_BITS", 64)):
             monkeypatch.setattr(jaccard, name, value)
     every = dict(texts) | {100 + i: t for i, t in enumerate(_near(1))}
     df = spark.createDataFrame([(i, t) for i, t in every.items()], "doc_id long, text string").repartition(3)

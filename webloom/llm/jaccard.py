@@ -47,8 +47,8 @@ SKETCH_BITS = (18, 24)
 SIGNATURE_BITS = (512, 1 << 17)
 #: Bits of the filter that spares texts without candidates an exchange.
 FILTER_BITS = 1 << 24
-#: Tiles of at most so many rows are compared together with others.
-SMALL = 48
+#: Tiles of at most so many rows are compared together with others, until so many rows have come.
+SMALL, TOGETHER = 48, 1 << 15
 #: Rows of a tile that are compared in one block.
 BLOCK = 4096
 #: A tile expected to be larger than this is dealt over several tasks.
@@ -335,10 +335,17 @@ def _likely(docs: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the blocks of tiles, as far as sizes and bitmaps allow links."""
+    """Pairs of different components in the blocks of tiles, as far as sizes and bitmaps allow links.
+
+    Nodes meet in many tiles, so a block gives each node's partners as one row,
+    and these lists are merged by node: each pair comes out once.
+    """
 
     def given(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.argsort(a, kind="stable")
+        first, start = np.unique(a[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.ListArray.from_arrays(pa.array(np.append(start, len(a)), pa.int32()), pa.array(b[order]))], names=["a", "partners"])
 
     def few(t: pa.Table, run_: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All pairs within runs of few rows, for many runs at once."""
@@ -409,7 +416,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
             last = wait[-2] if len(wait) > 1 else None
             opens = last is not None and any(last.column(c)[last.num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in ("token", "x", "y"))
-            if not len(cut) and not opens:
+            if not len(cut) and not opens or sum(b.num_rows for b in wait) < TOGETHER:
                 continue
             hold = int(cut[-1]) if len(cut) else 0
             t = pa.Table.from_batches([*wait[:-1], batch.slice(0, hold)]).combine_chunks()
@@ -421,7 +428,24 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             key = np.stack([t.column(c).to_numpy() for c in ("token", "x", "y")])
             yield from split(t, np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, t.num_rows))
 
-    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists of one node lie together; the last node of a batch waits for the next."""
+        wait = np.empty((2, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            now = np.stack([np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()])
+            every = np.unique(np.concatenate([wait, now], axis=1), axis=1)
+            done = every[0] < every[0, -1]
+            wait = every[:, ~done]
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(every[0, done]), pa.array(every[1, done])], names=["a", "b"])
+        if wait.size:
+            yield pa.RecordBatch.from_arrays([pa.array(wait[0]), pa.array(wait[1])], names=["a", "b"])
+
+    lists = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, partners array<long>")
+    return lists.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -459,7 +483,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     g = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     put = put.withColumn("g", g).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     put = put.select("token", F.least("g", "other").alias("x"), F.greatest("g", "other").alias("y"), F.when(F.col("g") > F.col("other"), 1).otherwise(0).alias("own"), "n", "node", "comp", "sig")
-    more = _exact(_across(put, percent).distinct(), docs, nodes, key, text, width, percent)
+    more = _exact(_across(put, percent), docs, nodes, key, text, width, percent)
     discard(held)
     return rows, nodes, first.unionByName(more), extended(comp, more)
 
