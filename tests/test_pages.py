@@ -103,7 +103,7 @@ def test_summary_and_highlight(spark):
     text = "Nothing here. The KEY is here. More nothing. Another key and key. Last"
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(present.summary(F.col("t"), ["key"])).first()[0] == "The KEY is here.... Another key and key."
-    assert df.select(present.summary(F.col("t"), ["key"], 10)).first()[0] == "Another k...."
+    assert df.select(present.summary(F.col("t"), ["key"], 10)).first()[0] == "The KEY i..."
     assert df.select(present.highlight(F.lit("Foo food e.m"), ["foo", "e.m"])).first()[0] == "<em>Foo</em> <em>foo</em>d <em>e.m</em>"
     assert present.pages("q", 10, 10, 25).previous.endswith("offset=0") and present.pages("q", 20, 5, 25).next is None
 
