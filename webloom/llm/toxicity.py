@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, id_crc, map_arrow, slices
+from .common import fields, id_crc, map_arrow, materialize, slices
 
 #: Labelled rows that are read for learning, at most.
 MAX_ROWS = 16_000
@@ -132,11 +132,15 @@ class Lexicon:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
-    """``text`` and label of the labelled rows with the smallest id hashes, ``max_rows`` at most."""
+    """``text`` and label of the labelled rows with the smallest id hashes, ``max_rows`` at most.
+
+    Written once, since learning reads them several times.
+    """
     some = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
     some = some.orderBy(F.xxhash64(key), key).limit(max_rows)
     # max_rows ids of 16 bytes: the broadcast has a fixed bound.
-    return docs.select(key, text).join(F.broadcast(some), key).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    rows = docs.select(key, text).join(F.broadcast(some), key).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    return materialize(rows, "labelled")
 
 
 def _counts(train: DataFrame) -> DataFrame:
