@@ -507,9 +507,12 @@ def pipeline_broadcast_union(spark, sf_dir):
     return p.apply(_t(spark, sf_dir, "events")).select("event_id", "branch", "value")
 
 
-@query(rf"WITH {_HREFS}, k AS (SELECT * FROM kept WHERE rn = 1), all_urls AS (SELECT split_part(url, '#', 1) AS url FROM pages UNION SELECT url FROM k) SELECT (SELECT count(DISTINCT split_part(url, '#', 1)) FROM pages)::BIGINT AS used, (SELECT count(*) FROM all_urls)::BIGINT AS links, (SELECT count(*) FROM k)::BIGINT AS edges, (SELECT count(DISTINCT split_part(url, '#', 1)) FROM pages)::BIGINT AS docs")
+_FIRSTS = "firsts AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY page_id) = 1)"
+
+
+@query(rf"WITH {_FIRSTS}, {_HREFS.replace('FROM pages', 'FROM firsts')}, k AS (SELECT * FROM kept WHERE rn = 1), all_urls AS (SELECT split_part(url, '#', 1) AS url FROM pages UNION SELECT url FROM k) SELECT (SELECT count(DISTINCT split_part(url, '#', 1)) FROM pages)::BIGINT AS used, (SELECT count(*) FROM all_urls)::BIGINT AS links, (SELECT count(*) FROM k)::BIGINT AS edges, (SELECT count(DISTINCT split_part(url, '#', 1)) FROM pages)::BIGINT AS docs")
 def crawl_pass_counts(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").select(urls.without_fragment(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+    pages = _t(spark, sf_dir, "pages").groupBy(urls.without_fragment(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html"))
     start = State(crawl.seeds(pages), spark.createDataFrame([], schemas.EDGES), spark.createDataFrame([], schemas.DOCUMENTS))
     state, used = crawl.crawl_pass(start, pages, F.lit(datetime(2024, 1, 1)))
     return spark.createDataFrame([(used, state.links.count(), state.edges.count(), state.docs.count())], "used long, links long, edges long, docs long")
@@ -530,12 +533,12 @@ def stream_crawl(spark, sf_dir):
     return store.load().links.select("id", "url")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, user_id, max(ts) AS last_seen, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, max(ts) AS last_seen, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def last_seen(spark, sf_dir):
     from webloom.streaming import services
 
     rows = services.last_seen_stream(_t(spark, sf_dir, "events"), "user_id", "ts")
-    return rows.select(F.to_date("window.start").alias("day"), "user_id", "last_seen", "n")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "user_id", "last_seen", "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
