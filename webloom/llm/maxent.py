@@ -158,7 +158,7 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
             for batch in slices(whole, 1 << 22):
                 for t in batch.column(0).to_pylist():
                     counts.update(tokens(t))
-                if len(counts) > 500_000:
+                if len(counts) > 150_000:
                     yield flush()
         yield flush()
 
