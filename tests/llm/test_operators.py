@@ -288,6 +288,25 @@ def test_jaccard(spark, docs, texts, monkeypatch, tight):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()}) and kept.columns == ["doc_id", "text", "extra"]
 
 
+def test_jaccard_many_copies(spark, monkeypatch):
+    """Copies make a token frequent, but its few nodes must still meet."""
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    every = {}
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(60)]
+        every |= {100 * g + i: " ".join(base) for i in range(20)} | {100 * g + 50: " ".join([*base[:-1], "z"])}
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df).collect()}
+    assert got == _components(every, sorted(every))
+
+
+def test_jaccard_dealt_tiles_keep_lone_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 1)
+    rows = [(i, 10, [7, 100 + i], [9, 1]) for i in range(4)] + [(4, 10, [8], [9])]
+    nodes = spark.createDataFrame(rows, "node long, n long, prefix array<long>, splits array<int>")
+    assert sorted((r.token, r.node, r["head"]) for r in jaccard._tiles(nodes, 80).collect()) == [(7, i, True) for i in range(4)]
+
+
 def test_jaccard_odd(spark, docs, empty):
     assert jaccard.classes(empty).count() == 0 and jaccard.dedupe(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string")

@@ -200,8 +200,14 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, percent: int, levels
 
 
 def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
-    """Rows of tiles of two nodes or more, each with its predecessor and the first node of its band."""
-    rows = nodes.select("node", "n", "splits", F.posexplode("prefix").alias("pos", "token")).select("token", F.pmod("node", F.coalesce(F.element_at("splits", F.col("pos") + 1), F.lit(1))).cast("int").alias("deal"), "n", "node")
+    """Rows of tiles of two nodes or more, each with its predecessor and the first node of its band.
+
+    The sketch counts texts, copies too; a token is dealt by the nodes that have it.
+    """
+    hot = nodes.where("splits IS NOT NULL").select(F.explode(F.arrays_zip("prefix", "splits")).alias("x")).where("x.splits > 1")
+    often = hot.groupBy(F.col("x.prefix").alias("token")).agg((F.count(F.lit(1)) / TILE).cast("int").alias("deals")).where("deals > 1")  # no more rows than prefixes / TILE
+    rows = nodes.select("node", "n", F.explode("prefix").alias("token")).join(F.broadcast(often), "token", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    rows = rows.select("token", F.pmod("node", "deals").cast("int").alias("deal"), "n", "node", "deals")
     return rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "node").mapInArrow(_runs(percent), "token long, deal int, n long, node long, prev long, pivot long, head boolean")
 
 
@@ -210,10 +216,10 @@ def _runs(percent: int):
         last: list[np.ndarray] | None = None  # the last row of what came before: its tile may go on
         pivot = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols = [batch.column(i).to_numpy() for i in range(5)]
             if not len(cols[0]):
                 continue
-            token, deal, n, node = cols
+            token, deal, n, node, deals = cols
             same = np.zeros(len(token), bool)
             same[1:] = (token[1:] == token[:-1]) & (deal[1:] == deal[:-1])
             joins = last is not None and token[0] == last[0] and deal[0] == last[1]
@@ -237,14 +243,14 @@ def _runs(percent: int):
                 pivot = p
             if not same[-1]:
                 pivot = (node[-1], n[-1])
-            # The first row of a tile is given when the second is met.
-            starts = at[~same[at - 1] & (at > 0)] - 1
+            # The first row of a tile is given when the second is met; that of a dealt token at once, as its others may lie in other deals.
+            starts = np.flatnonzero(~same & (np.append(same[1:], False) | (deals > 1)))
             rows = np.concatenate([starts, at])
             head = np.concatenate([np.ones(len(starts), bool), np.zeros(len(at), bool)])
             out = [token[rows], deal[rows], n[rows], node[rows]]
             pr = pa.array(np.concatenate([np.zeros(len(starts), np.int64), prev[at]]), mask=np.concatenate([np.ones(len(starts), bool), ~near[at]]))
             pv = pa.array(np.concatenate([np.zeros(len(starts), np.int64), first[at]]), mask=np.concatenate([np.ones(len(starts), bool), ~ok[at]]))
-            if joins and not last[4]:
+            if joins and not last[4] and deals[0] == 1:
                 out = [np.append(o, last[i]) for i, o in enumerate(out)]
                 pr, pv = pa.concat_arrays([pr, pa.nulls(1, pa.int64())]), pa.concat_arrays([pv, pa.nulls(1, pa.int64())])
                 head = np.append(head, True)
