@@ -236,6 +236,25 @@ def test_bands_reject_repetition_and_noise(spark, small):
     assert {r.doc_id: r.in_band for r in quality.measure(df).collect()} == {0: False, 1: False, 2: True, 3: False}
 
 
+@pytest.mark.parametrize("rest", [1500, 3000])
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_last_chunks_are_judged(spark, small, rest, chunks):
+    import random
+
+    text = " ".join(r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(40).collect()).encode("ascii", "ignore").decode()
+    rng = random.Random(3)
+    w = sorted(set(text.split()))
+    clean = " ".join(rng.choice(w) for _ in range(6000))[: quality.CHUNK * chunks + rest]
+    at = quality.CHUNK * (chunks - 1)
+    wide = tuple((n, 0.0, 9.0) if n >= quality.CHUNK else (n, low, high) for n, low, high in quality.BANDS)
+    full = clean[:at] + "all of this again " * 300
+    full = full[: at + quality.CHUNK] + clean[at + quality.CHUNK :]
+    tail = (clean[: at + quality.CHUNK] + "all of this again " * 300)[: len(clean)]
+    df = spark.createDataFrame(enumerate([clean, full, tail]), "doc_id long, text string")
+    got = {r.doc_id: r.in_band for r in quality.measure(df, bands=wide).collect()}
+    assert got == {0: True, 1: False, 2: 2 * rest < quality.CHUNK}
+
+
 # ------------------------------------------------------------ 6
 
 

@@ -32,7 +32,7 @@ BANDS = (
     (1048576, 0.28, 0.66),
 )
 
-#: Chunks of so many bytes, with the band of a full chunk.
+#: Chunks of so many bytes, with the band of a full chunk; a shorter one has the band of its length.
 CHUNK = 4096
 CHUNK_BAND = (0.40, 0.68)
 
@@ -109,11 +109,13 @@ def measure(df: DataFrame, key: str = "doc_id", text: str = "text", bands=BANDS,
             failed = n < 10 or 100 * rep > 20 * n
             ratio = len(squeeze(raw)) / len(raw) if raw else None
             cut = [raw[i : i + chunk] for i in range(0, len(raw), chunk)] if len(raw) > chunk else []
-            each = [len(squeeze(x)) / len(x) for x in cut if 2 * len(x) >= chunk]
+            sized = [(len(x), len(squeeze(x)) / len(x)) for x in cut if 2 * len(x) >= chunk]
+            each = [x for _, x in sized]
             band = limits(len(raw), bands)
             ok = band is None or band[0] <= ratio <= band[1]
-            full = each[:-1] if len(raw) % chunk else each
-            ok = ok and all(chunk_band[0] <= x <= chunk_band[1] for x in full)
+            for size, x in sized:
+                low, high = chunk_band if size == chunk else limits(size, bands) or (0.0, np.inf)
+                ok = ok and low <= x <= high
             rows.append((n, len(t) - sum(map(t.count, _BLANKS)), sum(map(t.count, SYMBOLS)), duplicate_lines(t), rep, ratio, min(each, default=None), max(each, default=None), failed, ok, ok and not failed))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 3, strict=True))], names=schema.names)
