@@ -151,6 +151,17 @@ def test_language_model(spark, docs, texts, empty):
     assert maxent.score(blank, blank, extra=("held_out",)).count() == 0
 
 
+def test_weights_grow_with_training_tokens():
+    few, many = (maxent.Vocabulary([], np.zeros(0), n, n, np.ones(maxent.CLASSES)) for n in (1000, 10**10))
+    assert few.rows == maxent.ROWS and many.rows == 1 << 17 and many.lookup().rows == many.rows
+    assert maxent.CLASSES == 128 and maxent.FEATURES == 4
+    code = np.array([0, 5 << 8 | 1, 70_000 << 8 | 2, 9 << 8 | 3, 0])
+    at = maxent._context(code, np.arange(5) == 0, many.rows)
+    assert (at // many.rows == np.arange(4)[:, None]).all() and at[0, 3] == 70_000
+    other = maxent._context(code + [0, 7, 0, 0, 0], np.arange(5) == 0, many.rows)
+    assert (at[:, 4] != other[:, 4]).tolist() == [False, False, False, True]  # the class three back
+
+
 def test_class_probabilities_add_up():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(maxent.FEATURES * maxent.ROWS, maxent.CLASSES)).astype(np.float32)

@@ -3,16 +3,17 @@
 ``P(word | context) = P(class | context) * P(word | class)``.  Frequent words
 are classes of their own, other words share classes by their endings.  The
 class distribution is a softmax over hashed features of the context (previous
-word, pair of previous classes, and the word before the last as a skip); the
-distribution within a class follows the counts of all
+word, pair of previous classes, word before the last as a skip, and the class
+before that); the distribution within a class follows the counts of all
 training words, with one unseen word in reserve, so that probabilities add up
 to one over the vocabulary and one unseen word in each class.
 
 Training passes read every training text once: a first pass over a small slice
 and a second over the rest.  In a pass, each task runs stochastic gradient
 steps from the weights broadcast to it, and row-wise means of the changes,
-weighted by the tokens that met a row, give the next weights.  The weights have
-a fixed size; the counts do not, and stay distributed: the ``TOP`` most
+weighted by the tokens that met a row, give the next weights.  Rows of weights
+grow with the root of the training tokens, about as distinct words do, and are
+broadcast whole; the counts stay distributed: the ``TOP`` most
 frequent words at most are broadcast, and the others' counts come by a join.
 
 Defined cases: a null text is the empty text and has one token, its end;
@@ -22,6 +23,7 @@ zero and every count is zero.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,12 +40,12 @@ from .common import fields, id_crc, materialize, slices
 #: Words whose counts every task holds, at most.
 TOP = 1 << 17
 #: Classes: single frequent words, endings, and one for the end of a text.
-SINGLES, ENDINGS = 24, 23
+SINGLES, ENDINGS = 64, 63
 CLASSES = SINGLES + ENDINGS + 1
 END = CLASSES - 1
-#: Rows of weights of each feature.
-ROWS = 1 << 12  # all features' rows are numbered in 16 bits
-FEATURES = 3
+#: Rows of weights of each feature, at least.
+ROWS = 1 << 12
+FEATURES = 4
 #: Tokens of one gradient step, and its rate.
 STEP, RATE = 2048, 0.5
 #: The first pass reads this share of the training texts.
@@ -71,8 +73,14 @@ class Vocabulary:
     def log_mass(self) -> np.ndarray:
         return np.log10(self.mass)
 
+    @property
+    def rows(self) -> int:
+        """Rows of weights of each feature: the power of two from the root of the training tokens on."""
+        return max(ROWS, 1 << (math.isqrt(max(self.total, 1)) - 1).bit_length())
+
     def lookup(self) -> _Lookup:
         table = _Lookup()
+        rows = table.rows = self.rows
         singles = 0
         for i, w in enumerate(self.words):
             if w == _END_TOKEN:
@@ -81,7 +89,7 @@ class Vocabulary:
                 c, singles = singles, singles + 1
             else:
                 c = _ending(w)
-            table[w] = (i + 1) << 24 | (zlib.crc32(w) % ROWS) << 8 | c
+            table[w] = (i + 1) << 40 | (zlib.crc32(w) % rows) << 8 | c
         if _END_TOKEN not in table:
             table[_END_TOKEN] = END
         return table
@@ -94,8 +102,10 @@ def _ending(word: bytes) -> int:
 class _Lookup(dict):
     """Words to ``rank + 1`` (0: not frequent), weight row and class, in one integer."""
 
+    rows = ROWS
+
     def __missing__(self, w: bytes) -> int:
-        return (zlib.crc32(w) % ROWS) << 8 | _ending(w)
+        return (zlib.crc32(w) % self.rows) << 8 | _ending(w)
 
 
 def _codes(text: str | None, table: _Lookup) -> np.ndarray:
@@ -103,10 +113,10 @@ def _codes(text: str | None, table: _Lookup) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
 
 
-def _context(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def _context(code: np.ndarray, begins: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """Weight rows (features x tokens) of texts laid end to end; ``begins`` marks first tokens."""
     n = len(code)
-    row, cls = code >> 8 & 0xFFFF, code & 0xFF
+    row, cls = code >> 8 & 0xFFFFFFFF, code & 0xFF
     since = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
 
     def back(x: np.ndarray, k: int, void: int) -> np.ndarray:
@@ -115,9 +125,11 @@ def _context(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
         y[since < k] = void
         return y
 
-    one, two = back(row, 1, ROWS - 1), back(row, 2, ROWS - 1)
-    pair = (back(cls, 1, END) * CLASSES + back(cls, 2, END)) * 40503 % 65521 % ROWS
-    return np.stack([one, ROWS + pair, 2 * ROWS + two])
+    one, two = back(row, 1, rows - 1), back(row, 2, rows - 1)
+    c1, c2, c3 = (back(cls, k, END) for k in (1, 2, 3))
+    pair = (c1 * CLASSES + c2) * 40503 % 65521 % rows
+    far = (c3 * CLASSES + c1) * 30011 % 65521 % rows
+    return np.stack([one, rows + pair, 2 * rows + two, 3 * rows + far])
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -135,7 +147,8 @@ def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias:
     p /= p.sum(1, keepdims=True)
     p[np.arange(len(cls)), cls] -= 1
     for f in range(FEATURES):
-        order = np.argsort(at[f].astype(np.uint16), kind="stable")  # a radix sort
+        own = at[f] - f * (len(weights) // FEATURES)
+        order = np.argsort(own.astype(np.uint16) if len(weights) <= FEATURES << 16 else own, kind="stable")  # 16 bits: a radix sort
         rows, start, count = np.unique(at[f][order], return_index=True, return_counts=True)
         grad = np.add.reduceat(p.take(order, 0), start, axis=0)
         square[rows] += (grad * grad).mean(1)
@@ -193,10 +206,10 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
     """Weights and bias after the training passes."""
     spark = train.sparkSession
     bias = np.log(vocab.mass / vocab.mass.sum()).astype(np.float32)
-    weights = np.zeros((FEATURES * ROWS, CLASSES), np.float32)
+    weights = np.zeros((FEATURES * vocab.rows, CLASSES), np.float32)
     words = spark.sparkContext.broadcast(vocab)
     blocks = 64
-    part = FEATURES * ROWS // blocks
+    part = len(weights) // blocks
     share = F.pmod(F.xxhash64(key), F.lit(WARM))
     for slice_ in (share == 0, share != 0):
         now = spark.sparkContext.broadcast(weights)
@@ -211,7 +224,7 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
                 code = np.concatenate(waiting)
                 begins = np.zeros(len(code), bool)
                 begins[np.cumsum([0, *map(len, waiting)])[:-1]] = True
-                at = _context(code, begins)
+                at = _context(code, begins, table.rows)
                 for i in range(0, len(code), STEP):
                     _descend(w, square, touched, bias, at[:, i : i + STEP], code[i : i + STEP] & 0xFF)
 
@@ -273,7 +286,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
                 first = size.cumsum() - size
                 begins = np.zeros(len(code), bool)
                 begins[first] = True
-                at, cls, rank = _context(code, begins), code & 0xFF, code >> 24
+                at, cls, rank = _context(code, begins, table.rows), code & 0xFF, code >> 40
                 logp = np.empty(len(code))
                 for i in range(0, len(code), STEP):
                     z = _scores(w, b, at[:, i : i + STEP])
