@@ -152,7 +152,7 @@ def test_language_model(spark, docs, texts, empty):
 
 
 def test_weights_grow_with_training_tokens():
-    few, many = (maxent.Vocabulary([], np.zeros(0), n, n, np.ones(maxent.CLASSES)) for n in (1000, 10**10))
+    few, many = (maxent.Vocabulary([], np.zeros(0), n, n, np.ones((maxent.CLASSES, maxent.PARTS))) for n in (1000, 10**10))
     assert few.rows == maxent.ROWS and many.rows == 1 << 17 and many.lookup().rows == many.rows
     assert maxent.CLASSES == 128 and maxent.FEATURES == 4
     code = np.array([0, 5 << 8 | 1, 70_000 << 8 | 2, 9 << 8 | 3, 0])
@@ -162,6 +162,27 @@ def test_weights_grow_with_training_tokens():
     assert (at[:, 4] != other[:, 4]).tolist() == [False, False, False, True]  # the class three back
 
 
+def test_context_decides_within_a_class(spark):
+    """Words of one ending, so of one class: the word before says which follows."""
+    rng = np.random.default_rng(5)
+    common = [f"{chr(97 + i // 8)}{i % 8}" for i in range(maxent.SINGLES)] * 1000
+    texts = [" ".join(common)] + [" ".join(f"{a}ka {b}zing" for a, b in zip("abcd" * 10, "pqrs" * 10, strict=True)) for _ in range(60)]
+    df = spark.createDataFrame(enumerate([*texts, *[" ".join(rng.permutation(t.split())) for t in texts[1:4]]]), "doc_id long, text string").coalesce(1)
+    train = df.where(f"doc_id < {len(texts)}")
+    vocab = maxent.vocabulary(maxent.count_words(train), 1000)
+    table = vocab.lookup()
+    codes = [table[f"{x}zing".encode()] for x in "pqrs"]
+    assert len({c & 0xFF for c in codes}) == 1 and len({c >> 36 & 0xFF for c in codes}) == 4
+    w, bias = maxent.fit(train, vocab)
+    half, cls = len(w) // 2, codes[0] & 0xFF
+    for a, c in zip("abcd", codes, strict=True):
+        code = np.array([table[f"{x}".encode()] for x in ("sring", f"{a}ka")] + [c])
+        at = maxent._context(code, np.arange(3) == 0, vocab.rows)[:, 2:]
+        z = maxent._scores(w[half:], vocab.log_share()[[cls]], at)[0]
+        p = np.exp(z) / np.exp(z).sum()
+        assert p.sum() == pytest.approx(1, abs=1e-5) and p[c >> 36 & 0xFF] > 2 * np.exp(vocab.log_share()[cls, c >> 36 & 0xFF])
+
+
 def test_class_probabilities_add_up():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(maxent.FEATURES * maxent.ROWS, maxent.CLASSES)).astype(np.float32)

@@ -1,12 +1,14 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-``P(word | context) = P(class | context) * P(word | class)``.  Frequent words
-are classes of their own, other words share classes by their endings.  The
-class distribution is a softmax over hashed features of the context (previous
-word, pair of previous classes, word before the last as a skip, and the class
-before that); the distribution within a class follows the counts of all
-training words, with one unseen word in reserve, so that probabilities add up
-to one over the vocabulary and one unseen word in each class.
+``P(word | context) = P(class | context) * P(part | class, context) * P(word | part)``.
+Frequent words are classes of their own, other words share classes by their
+endings, and such a class has parts by the hash of the word.  Both the classes
+and the parts in a class have a softmax over hashed features of the context
+(previous word, pair of previous classes, word before the last as a skip, and
+the class before that), which start from the counts; the features' weights of
+the parts are shared by all classes.  Words of one part follow the counts of
+all training words, with one unseen word in reserve, so that probabilities add
+up to one over the vocabulary and one unseen word in each part.
 
 Training passes read every training text once: a first pass over a small slice
 and a second over the rest.  In a pass, each task runs stochastic gradient
@@ -43,6 +45,8 @@ TOP = 1 << 17
 SINGLES, ENDINGS = 64, 63
 CLASSES = SINGLES + ENDINGS + 1
 END = CLASSES - 1
+#: Parts of a class of several words; as many as classes, so that weights lie in one table.
+PARTS = CLASSES
 #: Rows of weights of each feature, at least.
 ROWS = 1 << 12
 FEATURES = 4
@@ -71,7 +75,13 @@ class Vocabulary:
     mass: np.ndarray
 
     def log_mass(self) -> np.ndarray:
-        return np.log10(self.mass)
+        with np.errstate(divide="ignore"):
+            return np.log10(self.mass)
+
+    def log_share(self) -> np.ndarray:
+        """Natural logarithms of the parts' shares in their classes, before any context."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.log(self.mass / self.mass.sum(1, keepdims=True)).astype(np.float32)
 
     @property
     def rows(self) -> int:
@@ -88,8 +98,8 @@ class Vocabulary:
             elif singles < SINGLES:
                 c, singles = singles, singles + 1
             else:
-                c = _ending(w)
-            table[w] = (i + 1) << 40 | (zlib.crc32(w) % rows) << 8 | c
+                c = _part(w) << 36 | _ending(w)
+            table[w] = (i + 1) << 44 | (zlib.crc32(w) % rows) << 8 | c
         if _END_TOKEN not in table:
             table[_END_TOKEN] = END
         return table
@@ -99,13 +109,17 @@ def _ending(word: bytes) -> int:
     return SINGLES + zlib.crc32(word[-3:]) % ENDINGS
 
 
+def _part(word: bytes) -> int:
+    return zlib.crc32(word) % PARTS
+
+
 class _Lookup(dict):
-    """Words to ``rank + 1`` (0: not frequent), weight row and class, in one integer."""
+    """Words to ``rank + 1`` (0: not frequent), part, weight row and class, in one integer of 19, 8, 28 and 8 bits."""
 
     rows = ROWS
 
     def __missing__(self, w: bytes) -> int:
-        return (zlib.crc32(w) % self.rows) << 8 | _ending(w)
+        return _part(w) << 36 | (zlib.crc32(w) % self.rows) << 8 | _ending(w)
 
 
 def _codes(text: str | None, table: _Lookup) -> np.ndarray:
@@ -116,7 +130,7 @@ def _codes(text: str | None, table: _Lookup) -> np.ndarray:
 def _context(code: np.ndarray, begins: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """Weight rows (features x tokens) of texts laid end to end; ``begins`` marks first tokens."""
     n = len(code)
-    row, cls = code >> 8 & 0xFFFFFFFF, code & 0xFF
+    row, cls = code >> 8 & 0xFFFFFFF, code & 0xFF
     since = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
 
     def back(x: np.ndarray, k: int, void: int) -> np.ndarray:
@@ -179,9 +193,9 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
-    """From all counts: totals and class masses (sums of fixed number), and the words above a frequency."""
+    """From all counts: totals and masses of classes by part (sums of fixed number), and the words above a frequency."""
     ending = F.pmod(F.crc32(F.substring("token", -3, 3)), F.lit(ENDINGS)).cast("int")
-    sums = counts.groupBy(F.when(F.octet_length("token") == 0, -1).otherwise(ending).alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    sums = counts.groupBy(F.when(F.octet_length("token") == 0, -1).otherwise(ending).alias("e"), F.pmod(F.crc32("token"), F.lit(PARTS)).cast("int").alias("p")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     total, distinct = sum(r.c for r in sums), sum(r.v for r in sums)
     # Frequencies that at least one word has; the least one that leaves `top` words or fewer.
     steps = counts.groupBy(F.least(F.col("c"), F.lit(1 << 20)).alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
@@ -191,22 +205,24 @@ def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
             break
         floor, left = r.c, left + r.n
     rows = sorted(((-r.c, bytes(r.token)) for r in counts.where(F.col("c") >= floor).collect()), key=lambda x: x) if left else []
-    mass = np.full(CLASSES, PRIOR)
+    # A class of one word has all in its first part.
+    mass = np.zeros((CLASSES, PARTS))
+    mass[SINGLES:END] = mass[:SINGLES, 0] = mass[END, 0] = PRIOR
     for r in sums:
-        mass[END if r.e < 0 else SINGLES + r.e] += r.c + PRIOR * r.v
+        mass[(END, 0) if r.e < 0 else (SINGLES + r.e, r.p)] += r.c + PRIOR * r.v
     made = Vocabulary([w for _, w in rows], np.array([-c for c, _ in rows], np.float64), total, distinct, mass)
     singles = [(i, w) for i, w in enumerate(made.words) if w != _END_TOKEN][:SINGLES]
     for k, (i, w) in enumerate(singles):
-        mass[_ending(w)] -= made.counts[i] + PRIOR
-        mass[k] = made.counts[i] + PRIOR
+        mass[_ending(w), _part(w)] -= made.counts[i] + PRIOR
+        mass[k, 0] = made.counts[i] + PRIOR
     return made
 
 
 def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias after the training passes."""
+    """Weights (of the classes, then of the parts) and the classes' bias after the training passes."""
     spark = train.sparkSession
-    bias = np.log(vocab.mass / vocab.mass.sum()).astype(np.float32)
-    weights = np.zeros((FEATURES * vocab.rows, CLASSES), np.float32)
+    bias = np.log(vocab.mass.sum(1) / vocab.mass.sum()).astype(np.float32)
+    weights = np.zeros((2 * FEATURES * vocab.rows, CLASSES), np.float32)
     words = spark.sparkContext.broadcast(vocab)
     blocks = 64
     part = len(weights) // blocks
@@ -217,6 +233,7 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             table, w = words.value.lookup(), now.value.copy()
             square, touched = np.full(len(w), 1.0, np.float32), np.zeros(len(w), np.int64)
+            half, share_ = len(w) // 2, words.value.log_share()
             waiting: list[np.ndarray] = []
             held = 0
 
@@ -226,7 +243,12 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
                 begins[np.cumsum([0, *map(len, waiting)])[:-1]] = True
                 at = _context(code, begins, table.rows)
                 for i in range(0, len(code), STEP):
-                    _descend(w, square, touched, bias, at[:, i : i + STEP], code[i : i + STEP] & 0xFF)
+                    a, c = at[:, i : i + STEP], code[i : i + STEP]
+                    cls = c & 0xFF
+                    _descend(w[:half], square[:half], touched[:half], bias, a, cls)
+                    m = np.flatnonzero((cls >= SINGLES) & (cls < END))
+                    if len(m):
+                        _descend(w[half:], square[half:], touched[half:], share_[cls[m]], a[:, m], (c[m] >> 36) & 0xFF)
 
             for whole in batches:
                 for batch in slices(whole, 1 << 22):
@@ -276,7 +298,8 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
         voc, (w, b) = words.value, model.value
         table = voc.lookup()
         log_count = np.concatenate([[0.0], np.log10(voc.counts + PRIOR)])
-        log_mass = voc.log_mass()
+        log_mass, share_ = voc.log_mass(), voc.log_share()
+        half = len(w) // 2
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in slices(whole, 1 << 21):
@@ -286,13 +309,17 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
                 first = size.cumsum() - size
                 begins = np.zeros(len(code), bool)
                 begins[first] = True
-                at, cls, rank = _context(code, begins, table.rows), code & 0xFF, code >> 40
+                at, cls, part, rank = _context(code, begins, table.rows), code & 0xFF, code >> 36 & 0xFF, code >> 44
                 logp = np.empty(len(code))
                 for i in range(0, len(code), STEP):
-                    z = _scores(w, b, at[:, i : i + STEP])
-                    c = cls[i : i + STEP]
+                    a, c = at[:, i : i + STEP], cls[i : i + STEP]
+                    z = _scores(w[:half], b, a)
                     logp[i : i + STEP] = (z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))) / np.log(10)
-                logp -= log_mass[cls]
+                    m = np.flatnonzero((c >= SINGLES) & (c < END))
+                    if len(m):
+                        z = _scores(w[half:], share_[c[m]], a[:, m])
+                        logp[i + m] += (z[np.arange(len(m)), part[i + m]] - np.log(np.exp(z).sum(1))) / np.log(10)
+                logp -= log_mass[cls, part]
                 others = []
                 unknown = rank == 0
                 for ws, a, n in zip(lists, first.tolist(), size.tolist(), strict=True):
