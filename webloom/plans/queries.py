@@ -317,8 +317,8 @@ def pagerank_converged(spark, sf_dir):
     return pagerank.pagerank(*_parts(spark, sf_dir)).vertices.select("id", F.round("score", 9).alias("score"))
 
 
-def _costs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = _pairs(spark, sf_dir).where("src <> dst AND event_id % 9 = 0").groupBy("src", "dst").agg((F.min(F.col("event_id") % 17) + 1).cast("long").alias("cost"))
+def _costs(spark, sf_dir, only: str = "true") -> tuple[DataFrame, DataFrame]:
+    e = _pairs(spark, sf_dir).where("src <> dst").where(only).groupBy("src", "dst").agg((F.min(F.col("event_id") % 17) + 1).cast("long").alias("cost"))
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
 
 
@@ -334,7 +334,8 @@ def _path_sql(hops: int = 24) -> str:
 
 @query(_path_sql())
 def sssp(spark, sf_dir):
-    v, e = _costs(spark, sf_dir)
+    """Over the ninth of the events that its SQL keeps; sssp_paths has the whole graph."""
+    v, e = _costs(spark, sf_dir, "event_id % 9 = 0")
     source = v.agg(F.min("id")).first()[0]
     return paths.shortest_paths(v, e, source).vertices.select("id", "distance")
 
@@ -362,7 +363,6 @@ def coloring_valid(spark, sf_dir):
 @query(f"WITH {_USERS_SQL} SELECT count(*)::BIGINT AS vertices, count(*)::BIGINT AS colored, 0::BIGINT AS conflicts, true AS within_bound FROM v")
 def coloring_users(spark, sf_dir):
     v, e = _users(spark, sf_dir)
-    e = e.where("(cast(src as long) * 31 + cast(dst as long)) % 7 = 0")
     done = coloring.color(v, e)
     most = coloring.symmetric(e.where("src <> dst")).distinct().groupBy("src").count().agg(F.max("count")).first()[0] or 0
     bad = coloring.conflicts(done.vertices, e).count()
