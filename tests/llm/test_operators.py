@@ -444,6 +444,13 @@ def test_neighbours(spark):
     assert [(r.query_id, r.id) for r in neighbours.search(two, two).orderBy("query_id").collect()] == [(0, 1), (1, 0)]
 
 
+def test_neighbours_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0])] * 40 + [(1, [1.0, 2.0]), (2, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.search(df, df.where("vec_id = 2"))
+    assert [(r.rank, r.id) for r in got.orderBy("rank").collect()] == [(1, 0), (2, 1)]
+
+
 # ------------------------------------------------------------ 9
 
 _PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))

@@ -133,9 +133,9 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, sample: int = SAMPLE, seed: int = 17) -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` nearest found for each row of ``queries`` among ``vectors``."""
     spark = vectors.sparkSession
-    every = usable(vectors, key, vector)
+    every = usable(vectors, key, vector).distinct()
     order = Window.partitionBy("v").orderBy("id")
-    stock = materialize(every.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).select("id", "v").distinct(), "vectors")
+    stock = materialize(every.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).select("id", "v"), "vectors")
     asked = materialize(usable(queries, key, vector).distinct(), "queries")
     stats = stock.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     out = "query_id long, rank int, id long, score double"
