@@ -367,6 +367,14 @@ def test_jaccard_odd(spark, docs, empty):
     assert set(jaccard.classes(docs).columns) == {"doc_id", "n_shingles", "component_id"}
 
 
+def test_dedupe_keeps_unlinked_texts_of_a_repeated_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, c), (6, d), (7, None), (7, ""), (7, a), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in jaccard.dedupe(df).collect())
+    assert got == Counter([(3, a), (5, b), (6, c), (6, d), (7, None), (7, ""), (None, b)])
+
+
 # ------------------------------------------------------------ 7
 
 

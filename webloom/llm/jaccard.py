@@ -494,17 +494,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return rows, nodes, first.unionByName(more), extended(comp, more)
 
 
+def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """``set, root, component_id`` of every distinct set."""
+    named = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return materialize(named.join(least, "root").select("set", "root", "component_id"), "classes")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``key, n_shingles, component_id`` (the smallest key reachable) of every row."""
     rows, nodes, _, comp = join(docs, key, text, **options)
-    named = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = materialize(named.join(least, "root").select("set", "component_id"), "classes")
+    of = _named(nodes, comp).drop("root")
     return rows.join(of, "set", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest key; rows without a key stay."""
-    found = classes(docs, key, text, **options).where(F.col(key).isNotNull())
-    kept = found.groupBy(key).agg(F.min("component_id").alias("__least")).where(F.col("__least") == F.col(key)).select(key)
-    return docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, **options) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest key (and then set); rows without a key or a word stay.
+
+    Rows of a repeated key are told apart by their sets.
+    """
+    rows, nodes, _, comp = join(docs, key, text, width=width, **options)
+    rows = rows.where(F.col(key).isNotNull())
+    own = rows.join(_named(nodes, comp), "set").where(F.col(key) == F.col("component_id")).groupBy("root").agg(F.first(key).alias(key), F.min("set").alias("set"))
+    own = own.select(key, "set").unionByName(rows.where("n = 0").select(key, "set")).groupBy(key).agg(F.collect_set("set").alias("__sets"))
+    kept = own.join(rows.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("__many")), key)
+
+    @F.udf("binary", useArrow=True)
+    def digest(t):
+        from xxhash import xxh3_128_digest
+
+        h = shingles(t, width)
+        return xxh3_128_digest(h.tobytes()) if len(h) else None
+
+    found = docs.where(F.col(key).isNotNull()).join(kept, key).withColumn("__set", digest(F.when(F.col("__many"), F.col(text))))
+    found = found.where("NOT __many OR __set IS NULL OR array_contains(__sets, __set)").withColumn("__row", F.when(F.col("__set").isNull(), F.monotonically_increasing_id()))
+    return found.dropDuplicates([key, "__set", "__row"]).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
