@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 #: ASCII white space, in the form of a Java/RE2 character class body.
 BLANKS = r"\x20\x09-\x0D"
 
+#: While a table is written: shuffle files go with the job, and Python gets batches of few bytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -50,16 +53,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/webloom-{tag}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._webloom_path = path

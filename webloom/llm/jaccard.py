@@ -8,20 +8,28 @@
    band.  The order puts frequent shingles last, judged by a counting sketch
    of fixed size over all texts, which keeps common passages out of the tiles.
 3. In a tile, each node is paired with its predecessor and with the first node
-   of its band: as many pairs as rows, however large the tile.  Their links
-   give first components, which swallow large groups of near copies.
+   of its band: as many pairs as rows, however large the tile.  The ``FIRST``
+   pairs of a node that occur in most tiles are decided, and their links give
+   first components, which swallow large groups of near copies.
 4. Tiles that still hold several components are compared in full across
-   components, in blocks.  Hashed bitmaps bound the overlap from above:
-   ``|A & B| <= |A| - popcount(a & ~b)``.
-5. What the bound leaves is decided by intersecting the sorted arrays.
-
-No link between different sets is lost, since a pair that is never compared
-lies in one component already.  Hashes of 64 bits stand for shingles and 128
-bits for sets.
+   components, large ones in blocks of one size band or of two that adjoin.
+   Places in the order of shingles and hashed bitmaps bound the overlap from
+   above: ``|A & B| <= |A| - popcount(a & ~b)``.  Each pair that is left is put
+   down in one tile; pairs leave a task as lists of ids, one row a node.
+5. The sorted arrays of a block's nodes are then brought to it once, not once a
+   pair, and intersected.  Components that a link has joined need no further
+   link, so a block gives fewer links than it has components.
+
+No link between different sets is lost: a pair that is never compared lies in
+one component already.  Hashes of 64 bits stand for shingles and 128 bits for
+sets.
 
 Defined cases: null and wordless texts have no shingles and link with nothing;
 texts of fewer words than a shingle have one, the whole sequence; repeated ids
 are separate rows, and a null id never names a component that has another id.
+Texts of any length are taken whole; only one batch of texts (4 MB, or one
+text) is in a task's Python memory.  Columns other than the key and the text
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import discard, fields, map_arrow, materialize, slices
 from .components import components, extended
@@ -47,10 +56,12 @@ SKETCH_BITS = (18, 24)
 SIGNATURE_BITS = (512, 1 << 17)
 #: Bits of the filter that spares texts without candidates an exchange.
 FILTER_BITS = 1 << 24
-#: Tiles of at most so many rows are compared together with others, until so many rows have come.
-SMALL, TOGETHER = 48, 1 << 15
-#: Rows of a tile that are compared in one block.
-BLOCK = 4096
+#: Tiles of at most so many rows are compared together with others, until so many rows or bytes have come.
+SMALL, TOGETHER, TOGETHER_BYTES = 48, 1 << 13, 1 << 23
+#: Rows of a tile, and shingles of all their sets, that are compared in one block, about.
+BLOCK, WEIGHT = 4096, 1 << 20
+#: Pairs of a node that are decided before tiles are compared in full.
+FIRST = 4
 #: A tile expected to be larger than this is dealt over several tasks.
 TILE = 1 << 17
 
@@ -202,32 +213,35 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, percent: int, levels
 def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
     """Rows of tiles of two nodes or more, each with its predecessor and the first node of its band.
 
+    ``pos`` is the token's place among the node's shingles in the common order.
     The sketch counts texts, copies too; a token is dealt by the nodes that have it.
     """
     hot = nodes.where("splits IS NOT NULL").select(F.explode(F.arrays_zip("prefix", "splits")).alias("x")).where("x.splits > 1")
     often = hot.groupBy(F.col("x.prefix").alias("token")).agg((F.count(F.lit(1)) / TILE).cast("int").alias("deals")).where("deals > 1")  # no more rows than prefixes / TILE
-    rows = nodes.select("node", "n", F.explode("prefix").alias("token")).join(F.broadcast(often), "token", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
-    rows = rows.select("token", F.pmod("node", "deals").cast("int").alias("deal"), "n", "node", "deals")
-    return rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "node").mapInArrow(_runs(percent), "token long, deal int, n long, node long, prev long, pivot long, head boolean")
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).join(F.broadcast(often), "token", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    rows = rows.select("token", F.pmod("node", "deals").cast("int").alias("deal"), "n", "node", "deals", "pos")
+    return rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "node").mapInArrow(_runs(percent), "token long, deal int, n long, node long, pos int, prev long, pivot long, head boolean")
 
 
 def _runs(percent: int):
+    names = ["token", "deal", "n", "node", "pos", "prev", "pivot", "head"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[np.ndarray] | None = None  # the last row of what came before: its tile may go on
+        last: list | None = None  # the last row of what came before: its tile may go on
         pivot = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [batch.column(i).to_numpy() for i in range(6)]
             if not len(cols[0]):
                 continue
-            token, deal, n, node, deals = cols
+            token, deal, n, node, deals, pos = cols
             same = np.zeros(len(token), bool)
             same[1:] = (token[1:] == token[:-1]) & (deal[1:] == deal[:-1])
             joins = last is not None and token[0] == last[0] and deal[0] == last[1]
             same[0] = joins
-            prev, prev_n = np.empty_like(node), np.empty_like(n)
-            prev[1:], prev_n[1:] = node[:-1], n[:-1]
-            prev[0], prev_n[0] = (last[3], last[2]) if joins else (0, 0)
-            near = same & (100 * prev_n >= percent * n)
+            prev, prev_n, prev_pos = np.empty_like(node), np.empty_like(n), np.empty_like(pos)
+            prev[1:], prev_n[1:], prev_pos[1:] = node[:-1], n[:-1], pos[:-1]
+            prev[0], prev_n[0], prev_pos[0] = (last[3], last[2], last[4]) if joins else (0, 0, 0)
+            near = same & (np.minimum(prev_n - prev_pos, n - pos) >= needed(prev_n + n, percent))
             at = np.flatnonzero(same)
             first = np.zeros(len(node), np.int64)
             ok = np.zeros(len(node), bool)
@@ -235,28 +249,28 @@ def _runs(percent: int):
                 if i == 0:
                     p = pivot
                 elif not same[i - 1]:
-                    p = (node[i - 1], n[i - 1])
+                    p = (node[i - 1], n[i - 1], pos[i - 1])
                 if 100 * p[1] < percent * n[i]:
-                    p = (node[i], n[i])
+                    p = (node[i], n[i], pos[i])
                 else:
-                    first[i], ok[i] = p[0], True
+                    first[i], ok[i] = p[0], min(p[1] - p[2], n[i] - pos[i]) >= needed(p[1] + n[i], percent)
                 pivot = p
             if not same[-1]:
-                pivot = (node[-1], n[-1])
+                pivot = (node[-1], n[-1], pos[-1])
             # The first row of a tile is given when the second is met; that of a dealt token at once, as its others may lie in other deals.
             starts = np.flatnonzero(~same & (np.append(same[1:], False) | (deals > 1)))
             rows = np.concatenate([starts, at])
             head = np.concatenate([np.ones(len(starts), bool), np.zeros(len(at), bool)])
-            out = [token[rows], deal[rows], n[rows], node[rows]]
+            out = [token[rows], deal[rows], n[rows], node[rows], pos[rows]]
             pr = pa.array(np.concatenate([np.zeros(len(starts), np.int64), prev[at]]), mask=np.concatenate([np.ones(len(starts), bool), ~near[at]]))
             pv = pa.array(np.concatenate([np.zeros(len(starts), np.int64), first[at]]), mask=np.concatenate([np.ones(len(starts), bool), ~ok[at]]))
-            if joins and not last[4] and deals[0] == 1:
+            if joins and not last[5] and deals[0] == 1:
                 out = [np.append(o, last[i]) for i, o in enumerate(out)]
                 pr, pv = pa.concat_arrays([pr, pa.nulls(1, pa.int64())]), pa.concat_arrays([pv, pa.nulls(1, pa.int64())])
                 head = np.append(head, True)
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([*(pa.array(o) for o in out), pr, pv, pa.array(head)], names=["token", "deal", "n", "node", "prev", "pivot", "head"])
-            last = [token[-1], deal[-1], n[-1], node[-1], bool(same[-1])]
+                yield pa.RecordBatch.from_arrays([*(pa.array(o) for o in out), pr, pv, pa.array(head)], names=names)
+            last = [token[-1], deal[-1], n[-1], node[-1], pos[-1], bool(same[-1])]
 
     return run
 
@@ -276,44 +290,121 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows.select("a", "b", "na", "nb", "sa", "sb"), run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """``a, b`` of the pairs that link."""
-    pairs = materialize(pairs, "pairs")
-    used = materialize(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "set", F.col("id").alias("rep")), "used")
-    texts = _likely(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), used).join(used, F.col("id").eqNullSafe(F.col("rep")))
+#: Where pairs are decided, and the lists of pairs: node ``a`` and its partners there.
+_PLACE = "token long, x int, y int"
+_LISTS = f"{_PLACE}, a long, partners array<long>"
+
+
+def _lists(cols: list[np.ndarray], b: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``token, x, y, a, partners`` from one pair an entry."""
+    order = np.lexsort((*cols[2::-1], cols[3]))
+    cols, b = [c[order] for c in cols], b[order]
+    new = np.ones(len(b), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    start = np.flatnonzero(new)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    made = [pa.array(c[start], k) for c, k in zip(cols, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*made, pa.ListArray.from_arrays(pa.array(np.append(start, len(b)), pa.int32()), pa.array(b))], names=["token", "x", "y", "a", "partners"])
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    """The reverse of ``_lists``."""
+    lists = batch.column("partners")
+    times = np.diff(lists.offsets.to_numpy())
+    return [np.repeat(batch.column(c).to_numpy(), times) for c in ("token", "x", "y", "a")], lists.flatten().to_numpy()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``token, x, y, node`` of all nodes in lists that lie together by place; the last place of a batch waits for the next."""
+    wait = np.empty((4, 0), np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (token, x, y, _), b = _pairs(batch)
+        one = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "x", "y", "a")])
+        every = np.concatenate([wait, one, np.stack([token, x, y, b])], axis=1)
+        every = every[:, np.lexsort(every[::-1])]
+        keep = np.ones(every.shape[1], bool)
+        keep[1:] = (every[:, 1:] != every[:, :-1]).any(0)
+        every = every[:, keep]
+        open_ = (every[:3] == one[:3, -1:]).all(0)
+        wait = every[:, open_]
+        yield pa.RecordBatch.from_arrays([pa.array(c[~open_], k) for c, k in zip(every, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["token", "x", "y", "node"])
+    if wait.size:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(wait, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["token", "x", "y", "node"])
+
+
+def _verified(percent: int):
+    """``a, b`` of links by place: arrays of a place's nodes come first, then its lists."""
 
-    def arrays(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from xxhash import xxh3_128_digest
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, up = None, {}, {}
+
+        def root(c: int) -> int:
+            while (p := up.get(c, c)) != c:
+                up[c] = c = up.get(p, p)
+            return c
+
+        def links(a: int, partners: list[int]) -> Iterator[tuple[int, int]]:
+            mine, h = held[a]
+            todo = [b for b in partners if root(held[b][0]) != root(mine)]
+            while todo:
+                size = 0
+                now = []
+                while todo and (not now or size + len(held[todo[-1]][1]) <= WEIGHT):
+                    now.append(todo.pop())
+                    size += len(held[now[-1]][1])
+                now = [b for b in now if root(held[b][0]) != root(mine)]
+                if not now:
+                    continue
+                arrays = [held[b][1] for b in now]
+                n = np.array([len(x) for x in arrays])
+                cat = np.concatenate(arrays)
+                both = np.add.reduceat(h[np.minimum(np.searchsorted(h, cat), len(h) - 1)] == cat, n.cumsum() - n, dtype=np.int64)
+                for b in np.flatnonzero(100 * both >= percent * (len(h) + n - both)).tolist():
+                    r, s = root(mine), root(held[now[b]][0])
+                    if r != s:
+                        up[max(r, s)] = min(r, s)
+                        yield a, now[b]
 
-        made = [shingles(t, width).tobytes() for t in batch.column("text").to_pylist()]
-        ok = pa.array([xxh3_128_digest(h) == s for h, s in zip(made, batch.column("set").to_pylist(), strict=True)], pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("node").filter(ok), pa.array(made, pa.binary()).filter(ok)], names=["node", "h"])
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for t, x, y, node, comp, h, partners in zip(*(batch.column(c).to_pylist() for c in ("token", "x", "y", "node", "comp", "h", "partners")), strict=True):
+                if (t, x, y) != place:
+                    place, held, up = (t, x, y), {}, {}
+                if h is not None:
+                    held[node] = comp, np.frombuffer(h, _U)
+                else:
+                    found.extend(links(node, partners))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+    return run
 
-    sets = materialize(map_arrow(texts.select("node", "set", "text"), arrays, T.StructType([T.StructField("node", T.LongType()), T.StructField("h", T.BinaryType())])).dropDuplicates(["node"]), "sets")
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
-        for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        keep = pa.array(ok, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    links = materialize(map_arrow(rows.select("a", "b", "ha", "hb"), run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), "links")
-    discard(pairs, used, sets)
+def _exact(lists: DataFrame, docs: DataFrame, nodes: DataFrame, comp: DataFrame | None, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """``a, b``: links among the pairs of ``lists`` (written), enough of them to join the components that all of them join."""
+    place = ["token", "x", "y"]
+    members = need = materialize(lists.repartition(*place).sortWithinPartitions(*place).mapInArrow(_members, f"{_PLACE}, node long"), "members")
+    used = materialize(nodes.join(need.select("node").distinct(), "node", "left_semi").select("node", "set", F.col("id").alias("rep")), "used")
+    sets = materialize(_arrays(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), used, width).join(used.select("node", "set"), "set").select("node", "h"), "sets")
+    if comp is not None:
+        need = need.join(comp.withColumnRenamed("root", "comp"), "node", "left")
+    else:
+        need = need.withColumn("comp", F.lit(None).cast("long"))
+    rows = need.join(sets, "node").select(*place, "node", F.coalesce("comp", "node").alias("comp"), "h", F.lit(None).cast("array<long>").alias("partners"))
+    rows = rows.unionByName(lists.select(*place, F.col("a").alias("node"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("binary").alias("h"), "partners"))
+    rows = rows.withColumn("late", F.col("h").isNull()).repartition(*place).sortWithinPartitions(*place, "late")
+    links = materialize(rows.mapInArrow(_verified(percent), "a long, b long"), "links")
+    discard(members, used, sets)
     return links
 
 
-def _likely(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """``docs`` (id, text) without most of the rows whose id isn't a ``rep`` of ``used``.
+def _arrays(docs: DataFrame, used: DataFrame, width: int) -> DataFrame:
+    """``set, h``: the sorted arrays of ``docs`` (id, text) whose id may be a ``rep`` of ``used``, each set once.
 
-    A bitmap of ``FILTER_BITS`` hashed ids; however full it is, no row is lost,
-    as the join that follows decides.
+    A bitmap of ``FILTER_BITS`` hashed ids spares most other texts; however full
+    it is, no row is lost, as the join that follows decides.
     """
     place = F.pmod(F.xxhash64(F.lit(1), F.col("rep")), F.lit(FILTER_BITS)).cast("int")
 
@@ -329,41 +420,36 @@ def _likely(docs: DataFrame, used: DataFrame) -> DataFrame:
         bits |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        from xxhash import xxh3_128_digest
+
         flags = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            ok = pa.array(flags[p >> 3] >> (7 - (p & 7)) & 1 > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], names=["id", "text"]).filter(ok)
+        p = batch.column("p").to_numpy()
+        made = [shingles(t, width).tobytes() for t in batch.column("text").filter(pa.array(flags[p >> 3] >> (7 - (p & 7)) & 1 > 0)).to_pylist()]
+        made = [h for h in made if h]
+        return pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(h) for h in made], pa.binary()), pa.array(made, pa.binary())], names=["set", "h"])
 
-    mine = docs.select("id", "text", F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(FILTER_BITS)).cast("int").alias("p"))
-    return mine.mapInArrow(keep, docs.schema)
+    mine = docs.select("text", F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(FILTER_BITS)).cast("int").alias("p"))
+    return map_arrow(mine, run, T.StructType([T.StructField("set", T.BinaryType()), T.StructField("h", T.BinaryType())])).dropDuplicates(["set"])
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the blocks of tiles, as far as sizes and bitmaps allow links.
+    """Lists of pairs of different components in the blocks of tiles, as far as sizes, places and bitmaps allow links.
 
-    Nodes meet in many tiles, so a block gives each node's partners as one row,
-    and these lists are merged by node: each pair comes out once.
+    Nodes meet in many tiles: lists are merged by node, and a pair stays in the
+    tile of the smallest token in which it was met.
     """
 
-    def given(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.argsort(a, kind="stable")
-        first, start = np.unique(a[order], return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(first), pa.ListArray.from_arrays(pa.array(np.append(start, len(a)), pa.int32()), pa.array(b[order]))], names=["a", "partners"])
-
     def few(t: pa.Table, run_: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All pairs within runs of few rows, for many runs at once."""
-        n, node, comp = (t.column(c).to_numpy() for c in ("n", "node", "comp"))
+        n, node, comp, pos = (t.column(c).to_numpy() for c in ("n", "node", "comp", "pos"))
         left, right = [], []
         for d in range(1, SMALL):
             i = np.flatnonzero(run_[d:] == run_[:-d])
             if not len(i):
                 break
             j = i + d
-            small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (comp[i] != comp[j]) & (100 * small >= percent * big)
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i] + n[j], percent))
             left.append(i[ok])
             right.append(j[ok])
         yield from decide(t, np.concatenate([*left, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.empty(0, np.int64)]).astype(np.int64), n, node)
@@ -376,24 +462,26 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((b, a))
         new = np.ones(len(order), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        i, j = i[order[new]], j[order[new]]
+        first = order[new]
+        i, j, a, b = i[first], j[first], a[first], b[first]
         used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
         bitmaps = _Bitmaps(t.column("sig").take(pa.array(used)).to_pylist())
         keep = bitmaps.overlap(at[: len(i)], at[len(i) :], n[i], n[j]) >= needed(n[i] + n[j], percent)
         if keep.any():
-            yield given(node[i[keep]], node[j[keep]])
+            i = i[keep]
+            yield _lists([*(t.column(c).to_numpy()[i] for c in ("token", "x", "y")), a[keep]], b[keep])
 
     def many(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """One large run, or two blocks of one."""
-        n, node, comp, own = (t.column(c).to_numpy() for c in ("n", "node", "comp", "own"))
+        n, node, comp, pos, own = (t.column(c).to_numpy() for c in ("n", "node", "comp", "pos", "own"))
         one = t.column("x")[0].as_py() == t.column("y")[0].as_py()
         left = np.arange(len(n)) if one else np.flatnonzero(own == 0)
         right = left if one else np.flatnonzero(own == 1)
-        step = max(1, (1 << 18) // max(1, len(right)))
+        step = max(1, (1 << 17) // max(1, len(right)))
         for k in range(0, len(left), step):
             p = left[k : k + step]
-            small, big = np.minimum(n[p][:, None], n[right][None]), np.maximum(n[p][:, None], n[right][None])
-            ok = (comp[p][:, None] != comp[right][None]) & (100 * small >= percent * big)
+            ok = np.minimum((n - pos)[p][:, None], (n - pos)[right][None]) >= needed(n[p][:, None] + n[right][None], percent)
+            ok &= comp[p][:, None] != comp[right][None]
             if one:
                 ok &= p[:, None] < right[None]
             u, v = np.nonzero(ok)
@@ -414,7 +502,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             for r in np.flatnonzero(~light).tolist():
                 yield from many(t.slice(int(ends[r] - size[r]), int(size[r])).combine_chunks())
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, TOGETHER_BYTES)):
             if not batch.num_rows:
                 continue
             wait.append(batch)
@@ -422,7 +510,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
             last = wait[-2] if len(wait) > 1 else None
             opens = last is not None and any(last.column(c)[last.num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in ("token", "x", "y"))
-            if not len(cut) and not opens or sum(b.num_rows for b in wait) < TOGETHER:
+            if not len(cut) and not opens or sum(b.num_rows for b in wait) < TOGETHER and sum(b.nbytes for b in wait) < TOGETHER_BYTES:
                 continue
             hold = int(cut[-1]) if len(cut) else 0
             t = pa.Table.from_batches([*wait[:-1], batch.slice(0, hold)]).combine_chunks()
@@ -435,23 +523,59 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             yield from split(t, np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, t.num_rows))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lists of one node lie together; the last node of a batch waits for the next."""
-        wait = np.empty((2, 0), np.int64)
+        """Lists of one node lie together; the last node of a batch waits for the next, unless it has very many partners."""
+        wait: list[np.ndarray] = [np.empty(0, np.int64)] * 5
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(1)
-            now = np.stack([np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()])
-            every = np.unique(np.concatenate([wait, now], axis=1), axis=1)
-            done = every[0] < every[0, -1]
-            wait = every[:, ~done]
-            if done.any():
-                yield pa.RecordBatch.from_arrays([pa.array(every[0, done]), pa.array(every[1, done])], names=["a", "b"])
-        if wait.size:
-            yield pa.RecordBatch.from_arrays([pa.array(wait[0]), pa.array(wait[1])], names=["a", "b"])
-
-    lists = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, partners array<long>")
-    return lists.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long")
+            cols, b = _pairs(batch)
+            token, x, y, a, b = (np.concatenate(p) for p in zip(wait, [*cols, b], strict=True))
+            order = np.lexsort((y, x, token, b, a))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            token, x, y, a, b = (c[order[new]] for c in (token, x, y, a, b))
+            open_ = a == a[-1]
+            if open_.sum() > WEIGHT:
+                open_[:] = False
+            wait = [c[open_] for c in (token, x, y, a, b)]
+            if not open_.all():
+                yield _lists([c[~open_] for c in (token, x, y, a)], b[~open_])
+        if len(wait[0]):
+            yield _lists(wait[:4], wait[4])
+
+    lists = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, _LISTS)
+    return lists.repartition("a").sortWithinPartitions("a").mapInArrow(merge, _LISTS)
+
+
+def _blocks(held: DataFrame, percent: int) -> DataFrame:
+    """Rows of tiles of several components, put in the pairs of blocks (``x``, ``y``) in which they meet others.
+
+    A tile of few rows is one block.  Others are cut by size bands, and wide
+    bands by hash; a pair that may link lies in one band or in two that adjoin.
+    """
+    mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where("c0 <> c1")
+    mixed = mixed.select("token", ((F.col("rows") > BLOCK) | (F.col("weight") > WEIGHT)).alias("large"))
+    width = float(np.log(100 / percent)) * 1.0001 or 1e-4  # a little wider than the widest ratio, against rounding
+    rows = held.join(mixed, "token").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    bands = rows.where("large").groupBy("token", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / WEIGHT)).cast("int").alias("k"))
+    bands = bands.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("bands"))  # a few dozen entries
+    rows = rows.join(bands, "token", "left")
+    rows = rows.withColumn("s", F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.element_at("bands", F.col("band")))).otherwise(0).cast("int"))
+
+    def number(band: Column, s: Column) -> Column:
+        return (F.shiftleft(band + 1, 20) + s).cast("int")
+
+    def others(step: int) -> Column:
+        k = F.coalesce(F.try_element_at("bands", F.col("band") + step), F.lit(0))
+        return F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+
+    me = number(F.col("band"), F.col("s"))
+    at = lambda x, y, own: F.struct(x.alias("x"), y.alias("y"), own.cast("int").alias("own"))
+    same = F.transform(others(0), lambda o: at(number(F.col("band"), F.least("s", o)), number(F.col("band"), F.greatest("s", o)), F.col("s") > o))
+    over = F.transform(others(1), lambda o: at(me, number(F.col("band") + 1, o), F.lit(0)))
+    under = F.transform(others(-1), lambda o: at(number(F.col("band") - 1, o), me, F.lit(1)))
+    where_ = F.when(F.col("large"), F.concat(same, over, under)).otherwise(F.array(at(F.lit(0), F.lit(0), F.lit(0))))
+    return rows.select("token", F.explode(where_).alias("at"), "n", "node", "comp", "pos").select("token", "at.x", "at.y", "at.own", "n", "node", "comp", "pos")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -478,19 +602,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # Tiles dealt over several tasks are tied together by their first rows.
     heads = tiles.where("head").groupBy("token").agg(F.min("node").alias("p"), F.max("deal").alias("most")).where("most > 0")
     near = near.unionByName(tiles.where("head").join(heads, "token").select("p", "node").where("p <> node"))
-    pairs = near.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    first = _exact(_bounded(pairs, nodes, percent), docs, nodes, key, text, width, percent)
+    # A node has no more pairs than prefix shingles, twice over; what is left out here is compared below.
+    met = near.groupBy(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    pairs = met.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))).where(F.col("rn") <= FIRST).select("a", "b")
+    chosen = _bounded(pairs, nodes, percent).groupBy("b").agg(F.collect_list("a").alias("partners"))
+    lists = materialize(chosen.select(F.col("b").alias("token"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("b").alias("a"), "partners"), "pairs")
+    first = _exact(lists, docs, nodes, None, key, text, width, percent)
     comp = materialize(components(first), "components")
-    held = materialize(tiles.select("token", "n", "node").join(comp.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "held")
-    discard(tiles)
-    mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 <> c1")
-    mixed = mixed.select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    put = held.join(mixed, "token").join(nodes.select("node", "sig"), "node")
-    g = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    put = put.withColumn("g", g).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    put = put.select("token", F.least("g", "other").alias("x"), F.greatest("g", "other").alias("y"), F.when(F.col("g") > F.col("other"), 1).otherwise(0).alias("own"), "n", "node", "comp", "sig")
-    more = _exact(_across(put, percent), docs, nodes, key, text, width, percent)
+    held = materialize(tiles.select("token", "n", "node", "pos").join(comp.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "held")
+    discard(tiles, lists)
+    put = _blocks(held, percent).join(nodes.select("node", "sig"), "node")
+    lists = materialize(_across(put, percent), "pairs")
     discard(held)
+    more = _exact(lists, docs, nodes, comp, key, text, width, percent)
+    discard(lists)
     return rows, nodes, first.unionByName(more), extended(comp, more)
 
 
