@@ -12,15 +12,24 @@ up to one over the vocabulary and one unseen word in each part.
 
 Training passes read every training text once: a first pass over a small slice
 and a second over the rest.  In a pass, each task runs stochastic gradient
-steps from the weights broadcast to it, and row-wise means of the changes,
-weighted by the tokens that met a row, give the next weights.  Rows of weights
-grow with the root of the training tokens, about as distinct words do, and are
-broadcast whole; the counts stay distributed: the ``TOP`` most
-frequent words at most are broadcast, and the others' counts come by a join.
+steps from the weights broadcast to it.  A step takes the model's expectation
+by about ``DRAWS`` draws a token from its softmax over all classes, which is
+unbiased and leaves a sparse gradient.  Row-wise means of the tasks' changes, weighted by
+the tokens that met a row and sent in eight bits a weight, give the next
+weights.  A task takes ``SHARE`` tokens or more, so that the changes sent stay
+in proportion to the input.  Rows of weights grow with the root of the training
+tokens, about as distinct words do, up to ``MAX_ROWS`` a feature, and are
+broadcast whole; the counts stay distributed: the ``TOP`` most frequent words at
+most are broadcast, and the others' counts come by a join.
+
+Steps follow the order of the rows in their files and the number of tasks, so
+``score`` changes a little with them; ``base_score`` and the counts don't.
 
 Defined cases: a null text is the empty text and has one token, its end;
 repeated ids are scored row by row; without training texts the weights stay
-zero and every count is zero.
+zero and every count is zero; equally frequent words are ranked by their bytes.
+Texts are read whole in batches of 4 MB or one text.  Columns other than the
+key, the text and those asked for aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +57,15 @@ CLASSES = SINGLES + ENDINGS + 1
 END = CLASSES - 1
 #: Parts of a class of several words; as many as classes, so that weights lie in one table.
 PARTS = CLASSES
-#: Rows of weights of each feature, at least.
-ROWS = 1 << 12
+#: Rows of weights of each feature, at least and at most (537 MB for all weights).
+ROWS, MAX_ROWS = 1 << 12, 1 << 17
 FEATURES = 4
-#: Tokens of one gradient step, and its rate.
-STEP, RATE = 2048, 0.5
+#: Tokens of one gradient step, its rate, and draws a token for the model's expectation.
+STEP, RATE, DRAWS = 2048, 0.2, 4
+#: Logits stay between this and its negative.
+LOGIT = np.float32(60)
+#: Training tokens of a task, at least, where that leaves two tasks a core.
+SHARE = 1 << 24
 #: The first pass reads this share of the training texts.
 WARM = 8
 PRIOR = 0.1
@@ -86,7 +100,7 @@ class Vocabulary:
     @property
     def rows(self) -> int:
         """Rows of weights of each feature: the power of two from the root of the training tokens on."""
-        return max(ROWS, 1 << (math.isqrt(max(self.total, 1)) - 1).bit_length())
+        return min(MAX_ROWS, max(ROWS, 1 << (math.isqrt(max(self.total, 1)) - 1).bit_length()))
 
     def lookup(self) -> _Lookup:
         table = _Lookup()
@@ -122,52 +136,108 @@ class _Lookup(dict):
         return _part(w) << 36 | (zlib.crc32(w) % self.rows) << 8 | _ending(w)
 
 
-def _codes(text: str | None, table: _Lookup) -> np.ndarray:
-    words = tokens(text)
-    return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+@dataclass
+class _Texts:
+    """The tokens of some texts, laid end to end, and the texts' sizes."""
+
+    words: list[bytes]
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> _Texts:
+        words: list[bytes] = []
+        size = []
+        for t in column.to_pylist():
+            own = tokens(t)
+            words += own
+            size.append(len(own))
+        return cls(words, np.array(size, np.int64))
+
+    def codes(self, table: _Lookup) -> np.ndarray:
+        return np.fromiter(map(table.__getitem__, self.words), np.int64, len(self.words))
+
+    @property
+    def begins(self) -> np.ndarray:
+        out = np.zeros(len(self.words), bool)
+        out[self.size.cumsum() - self.size] = True
+        return out
 
 
 def _context(code: np.ndarray, begins: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """Weight rows (features x tokens) of texts laid end to end; ``begins`` marks first tokens."""
     n = len(code)
     row, cls = code >> 8 & 0xFFFFFFF, code & 0xFF
-    since = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    first = np.flatnonzero(begins)
 
     def back(x: np.ndarray, k: int, void: int) -> np.ndarray:
-        y = np.full(n, void, np.int64)
+        y = np.empty(n, np.int64)
         y[k:] = x[: n - k]
-        y[since < k] = void
+        y[:k] = void
+        for j in range(k):
+            at = first + j  # of this text or, if it is so short, near the start of a later one
+            y[at[at < n]] = void
         return y
 
-    one, two = back(row, 1, rows - 1), back(row, 2, rows - 1)
     c1, c2, c3 = (back(cls, k, END) for k in (1, 2, 3))
-    pair = (c1 * CLASSES + c2) * 40503 % 65521 % rows
-    far = (c3 * CLASSES + c1) * 30011 % 65521 % rows
-    return np.stack([one, rows + pair, 2 * rows + two, 3 * rows + far])
+    pairs = np.arange(CLASSES * CLASSES)
+    out = np.empty((FEATURES, n), np.int64)
+    out[0] = back(row, 1, rows - 1)
+    out[1] = (rows + pairs * 40503 % 65521 % rows)[c1 * CLASSES + c2]
+    out[2] = 2 * rows + back(row, 2, rows - 1)
+    out[3] = (3 * rows + pairs * 30011 % 65521 % rows)[c3 * CLASSES + c1]
+    return out
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logits, kept where their powers are finite."""
     z = weights.take(at[0], 0)
     for f in range(1, FEATURES):
         z += weights.take(at[f], 0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    return z
+    return np.clip(z, -LOGIT, LOGIT, out=z)
+
 
+def _log10(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Logarithms of the softmax of ``z`` at ``of``."""
+    return (z[np.arange(len(of)), of] - np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))) / math.log(10)
 
-def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias: np.ndarray, at: np.ndarray, cls: np.ndarray) -> None:
-    """One gradient step on a batch of tokens; rows move at rates that fall with their own past gradients."""
-    p = np.exp(_scores(weights, bias, at))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(cls)), cls] -= 1
+
+@lru_cache(1)
+def _noise() -> np.ndarray:
+    """Uniform numbers that all steps share, each from a start of its own."""
+    return np.random.default_rng(11).random(1 << 21, np.float32)
+
+
+def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias: np.ndarray, at: np.ndarray, cls: np.ndarray, seed: int = 0) -> None:
+    """One gradient step on a batch of tokens; rows move at rates that fall with their own past gradients.
+
+    The gradient is the model's share of each class less one for the class that
+    came.  A share under ``1 / DRAWS`` counts as that much or as nothing, by
+    chance and right on average; larger ones count as they are.
+    """
+    n, k = len(cls), weights.shape[1]
+    every = np.arange(n)
+    p = _scores(weights, bias, at)
+    np.exp(p, out=p)
+    p *= (DRAWS / (p @ np.ones(k, np.float32)))[:, None]
+    miss = 1 - p[every, cls] / DRAWS
+    noise = _noise()
+    start = seed * 7919 % (len(noise) - min(n * k, len(noise)) + 1)
+    hit = np.flatnonzero(p.ravel() > (noise[start : start + n * k] if n * k <= len(noise) else np.resize(noise, n * k)))
+    of = hit // k
+    token = np.concatenate([of, every])
+    column = np.concatenate([hit - of * k, cls])
+    size = np.concatenate([np.maximum(p.ravel()[hit], 1) / DRAWS, np.full(n, -1, np.float32)])
+    flat = weights.reshape(-1)
     for f in range(FEATURES):
-        own = at[f] - f * (len(weights) // FEATURES)
-        order = np.argsort(own.astype(np.uint16) if len(weights) <= FEATURES << 16 else own, kind="stable")  # 16 bits: a radix sort
-        rows, start, count = np.unique(at[f][order], return_index=True, return_counts=True)
-        grad = np.add.reduceat(p.take(order, 0), start, axis=0)
-        square[rows] += (grad * grad).mean(1)
-        weights[rows] -= (RATE / np.sqrt(square[rows] + 1e-6))[:, None] * grad
-        touched[rows] += count
+        rows = at[f]
+        # A row's gradient has about the length of its tokens' misses, added up, in two of its k places.
+        low = int(rows.min())
+        own = np.bincount(rows - low, miss).astype(np.float32)
+        np.add.at(square, rows, miss * own.take(rows - low) * np.float32(2 / k))
+        np.add.at(touched, rows, 1)
+        rate = RATE / np.sqrt(square.take(rows))
+        np.subtract.at(flat, (rows * k).take(token) + column, size * rate.take(token))
 
 
 def count_words(train: DataFrame, text: str = "text") -> DataFrame:
@@ -227,67 +297,62 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
     blocks = 64
     part = len(weights) // blocks
     share = F.pmod(F.xxhash64(key), F.lit(WARM))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-vocab.total // SHARE))
     for slice_ in (share == 0, share != 0):
-        now = spark.sparkContext.broadcast(weights)
+        now = spark.sparkContext.broadcast(weights.astype(np.float16))
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            table, w = words.value.lookup(), now.value.copy()
+            table, w = words.value.lookup(), now.value.astype(np.float32)
             square, touched = np.full(len(w), 1.0, np.float32), np.zeros(len(w), np.int64)
             half, share_ = len(w) // 2, words.value.log_share()
-            waiting: list[np.ndarray] = []
-            held = 0
-
-            def learn() -> None:
-                code = np.concatenate(waiting)
-                begins = np.zeros(len(code), bool)
-                begins[np.cumsum([0, *map(len, waiting)])[:-1]] = True
-                at = _context(code, begins, table.rows)
-                for i in range(0, len(code), STEP):
-                    a, c = at[:, i : i + STEP], code[i : i + STEP]
-                    cls = c & 0xFF
-                    _descend(w[:half], square[:half], touched[:half], bias, a, cls)
-                    m = np.flatnonzero((cls >= SINGLES) & (cls < END))
-                    if len(m):
-                        _descend(w[half:], square[half:], touched[half:], share_[cls[m]], a[:, m], (c[m] >> 36) & 0xFF)
-
+            met = 0
             for whole in batches:
                 for batch in slices(whole, 1 << 22):
-                    for t in batch.column(0).to_pylist():
-                        waiting.append(_codes(t, table))
-                        held += len(waiting[-1])
-                        if held >= 4 * STEP:
-                            learn()
-                            waiting, held = [], 0
-            if held:
-                learn()
-            delta = (w - now.value) * touched[:, None].astype(np.float32)
+                    if not batch.num_rows:
+                        continue
+                    texts = _Texts.of(batch.column(0))
+                    code = texts.codes(table)
+                    at = _context(code, texts.begins, table.rows)
+                    for i in range(0, len(code), STEP):
+                        a, c = at[:, i : i + STEP], code[i : i + STEP]
+                        cls = c & 0xFF
+                        _descend(w[:half], square[:half], touched[:half], bias, a, cls, met)
+                        m = np.flatnonzero((cls >= SINGLES) & (cls < END))
+                        if len(m):
+                            _descend(w[half:], square[half:], touched[half:], share_[cls[m]], a[:, m], c[m] >> 36 & 0xFF, met)
+                        met += 1
             for b in range(blocks):
                 rows = np.flatnonzero(touched[b * part : (b + 1) * part]) + b * part
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()), pa.array([touched[rows].tobytes()], pa.binary()), pa.array([delta[rows].tobytes()], pa.binary())], names=["block", "rows", "touched", "delta"])
+                    delta = w[rows] - now.value[rows]
+                    scale = np.abs(delta).max(1) / 127 + np.float32(1e-12)
+                    eight = np.rint(delta / scale[:, None]).astype(np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), touched[rows], scale, eight))], names=["block", "rows", "touched", "scale", "delta"])
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                for b, rows, n, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for b, rows, n, scale, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     at = np.frombuffer(rows, np.int32) - b * part
+                    n = np.frombuffer(n, np.int64)
                     total, change = sums.setdefault(b, (np.zeros(part), np.zeros((part, CLASSES))))
-                    total[at] += np.frombuffer(n, np.int64)
-                    change[at] += np.frombuffer(d, np.float32).reshape(len(at), CLASSES)
+                    total[at] += n
+                    change[at] += np.frombuffer(d, np.int8).reshape(len(at), CLASSES) * (n * np.frombuffer(scale, np.float32))[:, None]
             for b, (total, change) in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([(change / np.maximum(total, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())], names=["block", "change"])
 
-        changes = train.where(slice_).select(text).mapInArrow(run, "block int, rows binary, touched binary, delta binary")
-        weights = weights.copy()
+        changes = train.where(slice_).select(text).coalesce(tasks).mapInArrow(run, "block int, rows binary, touched binary, scale binary, delta binary")
+        weights = now.value.astype(np.float32)
         for r in changes.repartition(blocks, "block").mapInArrow(merge, "block int, change binary").toLocalIterator():  # the size of the weights
             weights[r.block * part : (r.block + 1) * part] += np.frombuffer(r.change, np.float32).reshape(part, CLASSES)
+        now.unpersist()
     return weights, bias
 
 
 def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.ndarray, key: str, text: str, extra: list[str]) -> DataFrame:
     """Each text's class part, what frequent words give it, and its other words with their numbers."""
     context = docs.sparkSession.sparkContext
-    words, model = context.broadcast(vocab), context.broadcast((weights, bias))
+    words, model = context.broadcast(vocab), context.broadcast((weights.astype(np.float16), bias))
     rare = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())]))
     schema = T.StructType([T.StructField("row", T.LongType()), *fields(docs, key, *extra), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("counted", T.DoubleType()), T.StructField("classed", T.DoubleType()), T.StructField("rare", rare)])
     kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
@@ -296,6 +361,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
         from pyspark import TaskContext
 
         voc, (w, b) = words.value, model.value
+        w = w.astype(np.float32)
         table = voc.lookup()
         log_count = np.concatenate([[0.0], np.log10(voc.counts + PRIOR)])
         log_mass, share_ = voc.log_mass(), voc.log_share()
@@ -303,30 +369,31 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in slices(whole, 1 << 21):
-                lists = [tokens(t) for t in batch.column(text).to_pylist()]
-                size = np.array([len(x) for x in lists], np.int64)
-                code = np.fromiter((table[x] for ws in lists for x in ws), np.int64, int(size.sum()))
+                if not batch.num_rows:
+                    continue
+                texts = _Texts.of(batch.column(text))
+                code, size = texts.codes(table), texts.size
                 first = size.cumsum() - size
-                begins = np.zeros(len(code), bool)
-                begins[first] = True
-                at, cls, part, rank = _context(code, begins, table.rows), code & 0xFF, code >> 36 & 0xFF, code >> 44
+                at, cls, part, rank = _context(code, texts.begins, table.rows), code & 0xFF, code >> 36 & 0xFF, code >> 44
                 logp = np.empty(len(code))
                 for i in range(0, len(code), STEP):
                     a, c = at[:, i : i + STEP], cls[i : i + STEP]
                     z = _scores(w[:half], b, a)
-                    logp[i : i + STEP] = (z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))) / np.log(10)
+                    logp[i : i + STEP] = _log10(z, c)
                     m = np.flatnonzero((c >= SINGLES) & (c < END))
                     if len(m):
                         z = _scores(w[half:], share_[c[m]], a[:, m])
-                        logp[i + m] += (z[np.arange(len(m)), part[i + m]] - np.log(np.exp(z).sum(1))) / np.log(10)
+                        logp[i + m] += _log10(z, part[i + m])
                 logp -= log_mass[cls, part]
                 others = []
-                unknown = rank == 0
-                for ws, a, n in zip(lists, first.tolist(), size.tolist(), strict=True):
-                    found = Counter(ws[i] for i in np.flatnonzero(unknown[a : a + n]).tolist())
+                unknown = np.flatnonzero(rank == 0)
+                ends = np.searchsorted(unknown, [*first.tolist(), len(code)]).tolist()
+                unknown = unknown.tolist()
+                for lo, hi in zip(ends, ends[1:], strict=False):
+                    found = Counter(texts.words[i] for i in unknown[lo:hi])
                     others.append([{"token": x, "tf": k} for x, k in found.items()])
-                made = [pa.array(row + np.arange(len(lists))), *(batch.column(n) for n in (key, *extra)), pa.array(size), pa.array(np.add.reduceat((rank > 0).astype(np.int64), first)), pa.array(np.add.reduceat(log_count[rank], first)), pa.array(np.add.reduceat(logp, first)), pa.array(others, kind)]
-                row += len(lists)
+                made = [pa.array(row + np.arange(len(size))), *(batch.column(n) for n in (key, *extra)), pa.array(size), pa.array(np.add.reduceat((rank > 0).astype(np.int64), first)), pa.array(np.add.reduceat(log_count[rank], first)), pa.array(np.add.reduceat(logp, first)), pa.array(others, kind)]
+                row += len(size)
                 yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
     return docs.select(key, text, *extra).mapInArrow(run, schema)
