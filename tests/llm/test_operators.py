@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -537,3 +538,73 @@ def test_held_out_accuracy(spark):
 def test_ids_without_value_have_a_crc(spark):
     df = spark.createDataFrame([(None,), (17,)], "doc_id long")
     assert [r[0] for r in df.select(id_crc()).collect()] == [0, zlib.crc32(b"17")]
+
+
+# ------------------------------------------------------------ hot and odd inputs
+
+
+def test_shuffle_spreads_identical_rows(spark):
+    """Equal rows fill no bucket of their own, and the result doesn't depend on the partitioning."""
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text")).union(spark.range(500).select("id", F.concat(F.lit("t"), F.col("id"))))
+    found = []
+    for parts in (2, 5):
+        done = sharding.shuffle(rows.repartition(parts), 8, bucket_bytes=20_000)
+        table = done.withColumn("p", F.spark_partition_id()).collect()
+        held = Counter(r.p for r in table if r.text == "same text")
+        assert sum(held.values()) == 3000 and max(held.values()) < 1000
+        sizes = Counter(r["shard"] for r in table)
+        assert len(table) == 3500 and max(sizes.values()) - min(sizes.values()) <= 1
+        for k in range(8):
+            assert sorted(r.slot for r in table if r["shard"] == k) == list(range(sizes[k]))
+        found.append(sorted((r["shard"], r.slot, r.doc_id, r.text) for r in table))
+    assert found[0] == found[1]
+
+
+def test_pii_overlaps_match_a_plain_check():
+    """Added spans: best first, none over a base span or a better one."""
+    text = "iban DE89 3704 0044 0532 0130 00 ssn 123-45-6789 call (555) 010-9999 token " + "a1" * 20 + " 10.0.0.1 x@y.org " * 3
+    base = pii.base_spans(text)
+    kept = pii.extra_spans(text, base)
+    assert {k for k, *_ in kept} >= {"iban", "secret"}
+    every = [(a, b) for _, a, b in base]
+    for _, a, b, _ in kept:
+        assert all(b <= c or d <= a for c, d in every)
+        every.append((a, b))
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 9.0]), (2, [2.0, 1.0]), (3, [0.5, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.id): r.score for r in neighbours.search(df, df).collect()}
+    for q, x in ((1, [0.0, 9.0]), (2, [2.0, 1.0]), (3, [0.5, 3.0])):
+        for other in {1, 2, 3} - {q}:
+            assert got[q, other] == max(a * c + b * d for i, (c, d) in rows if i == other for a, b in [x])
+
+
+def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
+    """Blocks of a few rows and of few shingles, by bands and hashes, give what brute force gives."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words_ = list(base[: rng.randint(40, 60)])
+        for _ in range(rng.randint(0, 4)):
+            words_[rng.randrange(len(words_))] = f"x{rng.randint(0, 30)}"
+        rows.append((i, " ".join(words_)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    for name, value in (("BLOCK", 8), ("WEIGHT", 200), ("SMALL", 4), ("FIRST", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in sets}

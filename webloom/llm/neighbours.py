@@ -18,7 +18,9 @@ so only they are indexed, and equal queries are answered once.
 Defined cases: vectors that are null, empty, zero, of another length than most,
 or hold null or non-finite components take no part, as queries or candidates;
 a query's own id is never its candidate; with fewer candidates than ``k`` all
-that were found are given; ties go to the smaller id; null ids take no part.
+that were found are given; ties go to the smaller id; null ids take no part; an
+id with several vectors is one candidate, with the best of their scores, and as
+a query has the smallest of them.
 """
 
 from __future__ import annotations
@@ -114,9 +116,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best of candidates that may repeat."""
-    ids, first = np.unique(ids, return_index=True)
-    scores = scores[first]
+    """The ``k`` best of candidates that may repeat; an id counts with its best score."""
+    order = np.lexsort((-scores, ids))
+    ids, first = np.unique(ids[order], return_index=True)
+    scores = scores[order][first]
     order = np.lexsort((ids, -scores))[:k]
     return ids[order], scores[order]
 
@@ -136,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     every = usable(vectors, key, vector).distinct()
     order = Window.partitionBy("v").orderBy("id")
     stock = materialize(every.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).select("id", "v"), "vectors")
-    asked = materialize(usable(queries, key, vector).distinct(), "queries")
+    asked = materialize(usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v")), "queries")
     stats = stock.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     out = "query_id long, rank int, id long, score double"
     if not stats.n:

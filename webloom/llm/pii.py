@@ -17,6 +17,7 @@ end exclusive; equal texts give equal spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -125,7 +126,12 @@ _WORD = re.compile(r"\w+")
 
 
 def extra_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
-    taken = [(a, b) for _, a, b in base]
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
     found = []
     for r in EXTRA:
         for m in r.pattern.finditer(text):
@@ -142,9 +148,10 @@ def extra_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
                 found.append((r.kind, a, b, score))
     kept = []
     for kind, a, b, score in sorted(found, key=lambda x: (-x[3], x[1], -x[2], x[0])):
-        if all(b <= c or d <= a for c, d in taken):
+        i = bisect_left(taken, (a, b))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
             kept.append((kind, a, b, score))
-            taken.append((a, b))
+            taken.insert(i, (a, b))
     return kept
 
 
@@ -197,6 +204,11 @@ def counted(column: str, kind: str):
     return F.size(F.filter(column, lambda s: s["base"] & (s["kind"] == F.lit(kind)))).cast("long")
 
 
+def added(column: str):
+    """How many spans the method adds to the base ones."""
+    return F.size(F.filter(column, lambda s: ~s["base"])).cast("long")
+
+
 def joined(column: str, base_only: bool = False):
     """``kind:start:end`` of the spans, joined by commas."""
     each = F.filter(column, lambda s: s["base"]) if base_only else F.col(column)

@@ -62,7 +62,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     n = [pii.counted("spans", k).alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *n, F.sha2(pii.joined("spans", True), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    return found.select("doc_id", *n, F.sha2(pii.joined("spans", True), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), pii.added("spans").alias("n_added"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,15 @@ then one random order of all records, cut into shards whose counts differ by
 one at most.  The same seed gives the same shards whatever the partitioning,
 also when tasks run again.
 
-Defined cases: nulls hash like values; identical records are interchangeable
-and share a bucket; an empty table gives no rows; columns named ``shard`` or
-``slot`` in the input are replaced.
+Identical records are interchangeable.  Where a hash range holds more than its
+share, its equal records are counted and dealt out anew by a number each, so
+that a record repeated in a third of all rows spreads over all buckets.
+
+Defined cases: nulls hash like values; an empty table gives no rows; columns
+named ``shard`` or ``slot`` in the input are replaced, other names don't
+matter; a text of any length is one record, and a bucket holds one at least.
+Records with maps, which can't be compared, keep their first hash.  From
+``bucket_bytes * 2**20`` bytes (24 TB) on buckets grow with the table.
 """
 
 from __future__ import annotations
@@ -27,9 +33,29 @@ from pyspark.sql import types as T
 #: Raw bytes of text a bucket holds on average.
 BUCKET_BYTES = 24 << 20
 
+#: Copies of a record that one row stands for on the way to the tasks that make them.
+COPIES = 1024
+
 _HASH, _BUCKET = "__shuffle_hash", "__shuffle_bucket"
 
 
+def _fine(hashed: DataFrame, bits: int, size: str) -> list:
+    """Rows and bytes by the hash's leading bits: at most ``2**bits`` rows come back, whatever the input."""
+    return hashed.groupBy(F.shiftrightunsigned(_HASH, 64 - bits).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(size), F.lit(0)) + 64).alias("bytes")).collect()
+
+
+def _dealt(hashed: DataFrame, bits: int, full: list[int], names: list[str]) -> DataFrame:
+    """``hashed`` with new hashes for the rows of the ranges ``full``: equal rows are counted, and each copy gets a hash of its own."""
+    ranges = F.broadcast(hashed.sparkSession.createDataFrame([(b,) for b in full], "__range long"))  # 2**bits rows at most
+    mine = F.shiftrightunsigned(_HASH, 64 - bits) == F.col("__range")
+    one = hashed.join(ranges, mine, "left_semi").groupBy(_HASH, *(F.col(f"`{c}`") for c in names)).agg(F.count(F.lit(1)).alias("__copies"))
+    packs = one.withColumn("__pack", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / COPIES)))).repartition(_HASH, "__pack")
+    last = F.least(F.col("__copies"), (F.col("__pack") + 1) * COPIES) - 1
+    each = packs.withColumn("__copy", F.explode(F.sequence(F.col("__pack") * COPIES, last)))
+    again = each.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(_HASH, "__copy").alias(_HASH))
+    return hashed.join(ranges, mine, "left_anti").unionByName(again)
+
+
 def shuffle(df: DataFrame, shards: int = 8, seed: int = 17, size: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0), in shuffled order within buckets.
 
@@ -43,13 +69,17 @@ def shuffle(df: DataFrame, shards: int = 8, seed: int = 17, size: str = "text",
     hashed = df.withColumn(_HASH, F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in keys)))
     bits = 10
     while True:
-        # Fine buckets by the hash's leading bits: at most 2**bits rows come back, whatever the input.
-        fine = hashed.groupBy(F.shiftrightunsigned(_HASH, 64 - bits).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(size), F.lit(0)) + 64).alias("bytes"))
-        rows = fine.collect()
-        need = max(1, -(-sum(r.bytes for r in rows) // bucket_bytes))
+        rows = _fine(hashed, bits, size)
+        total_bytes = sum(r.bytes for r in rows)
+        need = max(1, -(-total_bytes // bucket_bytes))
         if need <= 1 << bits or bits >= 20:
             break
         bits = min(20, max(bits + 1, int(need - 1).bit_length()))
+    if need > 1 and len(keys) == len(df.columns):
+        full = [r.b for r in rows if r.bytes > max(bucket_bytes / 2, 2 * total_bytes / (1 << bits))]
+        if full:
+            hashed = _dealt(hashed, bits, full, df.columns)
+            rows = _fine(hashed, bits, size)
     buckets = min(need, 1 << bits)
     counts = np.zeros(buckets, np.int64)
     for r in rows:

@@ -23,9 +23,11 @@ import json
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +123,11 @@ class Lexicon:
                 found.append((start, entry))
             else:
                 spared.append((start, end))
-        return [(at, e) for at, e in found if not any(a <= at < b for a, b in spared)] if spared else found
+        if not spared:
+            return found
+        spared.sort()
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return [(at, e) for at, e in found if not (i := bisect_right(starts, at)) or reach[i - 1] <= at]
 
     def strength(self, hits: list[tuple[int, str]], n_words: int) -> float:
         return sum(self.entries[e] for _, e in hits) / math.log2(4 + n_words)
