@@ -62,8 +62,10 @@ ROWS, MAX_ROWS = 1 << 12, 1 << 17
 FEATURES = 4
 #: Tokens of one gradient step, its rate, and draws a token for the model's expectation.
 STEP, RATE, DRAWS = 2048, 0.2, 4
-#: Logits stay between this and its negative.
+#: Logits of a step stay between this and its negative where their powers would not be finite.
 LOGIT = np.float32(60)
+#: Steps of a weight to one, in scoring.
+UNIT = 512
 #: Training tokens of a task, at least, where that leaves two tasks a core.
 SHARE = 1 << 24
 #: The first pass reads this share of the training texts.
@@ -189,17 +191,36 @@ def _context(code: np.ndarray, begins: np.ndarray, rows: int = ROWS) -> np.ndarr
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logits, kept where their powers are finite."""
+    """Logits."""
     z = weights.take(at[0], 0)
     for f in range(1, FEATURES):
         z += weights.take(at[f], 0)
     z += bias
-    return np.clip(z, -LOGIT, LOGIT, out=z)
+    return z
+
+
+def _fixed(weights: np.ndarray) -> np.ndarray:
+    """Weights in units of ``1 / UNIT``, so that ``FEATURES`` of them add up in 16 bits."""
+    most = 32767 // FEATURES
+    return np.clip(np.rint(weights * UNIT), -most, most).astype(np.int16)
+
+
+def _fixed_scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``_scores`` of weights from ``_fixed``."""
+    z = weights.take(at[0], 0)
+    for f in range(1, FEATURES):
+        z += weights.take(at[f], 0)
+    out = z.astype(np.float32)
+    out *= np.float32(1 / UNIT)
+    out += bias
+    return out
 
 
 def _log10(z: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Logarithms of the softmax of ``z`` at ``of``."""
-    return (z[np.arange(len(of)), of] - np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))) / math.log(10)
+    """Logarithms of the softmax of ``z`` at ``of``; uses ``z`` up."""
+    own = z[np.arange(len(of)), of]
+    np.exp(z, out=z)
+    return (own - np.log(z @ np.ones(z.shape[1], np.float32))) / math.log(10)
 
 
 @lru_cache(1)
@@ -218,8 +239,13 @@ def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias:
     n, k = len(cls), weights.shape[1]
     every = np.arange(n)
     p = _scores(weights, bias, at)
-    np.exp(p, out=p)
-    p *= (DRAWS / (p @ np.ones(k, np.float32)))[:, None]
+    with np.errstate(over="ignore"):
+        np.exp(p, out=p)
+        whole = p @ np.ones(k, np.float32)
+    if not (np.isfinite(whole) & (whole > 0)).all():  # far-off logits
+        p = np.exp(np.clip(_scores(weights, bias, at), -LOGIT, LOGIT))
+        whole = p @ np.ones(k, np.float32)
+    p *= (DRAWS / whole)[:, None]
     miss = 1 - p[every, cls] / DRAWS
     noise = _noise()
     start = seed * 7919 % (len(noise) - min(n * k, len(noise)) + 1)
@@ -352,7 +378,7 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
 def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.ndarray, key: str, text: str, extra: list[str]) -> DataFrame:
     """Each text's class part, what frequent words give it, and its other words with their numbers."""
     context = docs.sparkSession.sparkContext
-    words, model = context.broadcast(vocab), context.broadcast((weights.astype(np.float16), bias))
+    words, model = context.broadcast(vocab), context.broadcast((_fixed(weights), bias))
     rare = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())]))
     schema = T.StructType([T.StructField("row", T.LongType()), *fields(docs, key, *extra), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("counted", T.DoubleType()), T.StructField("classed", T.DoubleType()), T.StructField("rare", rare)])
     kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
@@ -361,7 +387,6 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
         from pyspark import TaskContext
 
         voc, (w, b) = words.value, model.value
-        w = w.astype(np.float32)
         table = voc.lookup()
         log_count = np.concatenate([[0.0], np.log10(voc.counts + PRIOR)])
         log_mass, share_ = voc.log_mass(), voc.log_share()
@@ -378,11 +403,11 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
                 logp = np.empty(len(code))
                 for i in range(0, len(code), STEP):
                     a, c = at[:, i : i + STEP], cls[i : i + STEP]
-                    z = _scores(w[:half], b, a)
+                    z = _fixed_scores(w[:half], b, a)
                     logp[i : i + STEP] = _log10(z, c)
                     m = np.flatnonzero((c >= SINGLES) & (c < END))
                     if len(m):
-                        z = _scores(w[half:], share_[c[m]], a[:, m])
+                        z = _fixed_scores(w[half:], share_[c[m]], a[:, m])
                         logp[i + m] += _log10(z, part[i + m])
                 logp -= log_mass[cls, part]
                 others = []
