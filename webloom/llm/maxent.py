@@ -135,7 +135,8 @@ class _Lookup(dict):
     rows = ROWS
 
     def __missing__(self, w: bytes) -> int:
-        return _part(w) << 36 | (zlib.crc32(w) % self.rows) << 8 | _ending(w)
+        h = zlib.crc32(w)
+        return (h % PARTS) << 36 | (h % self.rows) << 8 | _ending(w)
 
 
 @dataclass
@@ -229,6 +230,24 @@ def _noise() -> np.ndarray:
     return np.random.default_rng(11).random(1 << 21, np.float32)
 
 
+@lru_cache(1)
+def _bits() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte: how many bits it has, where their places begin in a list, and that list."""
+    flags = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    n = flags.sum(1).astype(np.int64)
+    return n, n.cumsum() - n, np.nonzero(flags)[1]
+
+
+def _set(flags: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of flags of which few are set."""
+    packed = np.packbits(flags, bitorder="little")
+    some = np.flatnonzero(packed)
+    of = packed[some]
+    count, begin, places = _bits()
+    n = count[of]
+    return np.repeat(some << 3, n) + places[np.repeat(begin[of] - (n.cumsum() - n), n) + np.arange(int(n.sum()))]
+
+
 def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias: np.ndarray, at: np.ndarray, cls: np.ndarray, seed: int = 0) -> None:
     """One gradient step on a batch of tokens; rows move at rates that fall with their own past gradients.
 
@@ -249,7 +268,7 @@ def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias:
     miss = 1 - p[every, cls] / DRAWS
     noise = _noise()
     start = seed * 7919 % (len(noise) - min(n * k, len(noise)) + 1)
-    hit = np.flatnonzero(p.ravel() > (noise[start : start + n * k] if n * k <= len(noise) else np.resize(noise, n * k)))
+    hit = _set(p.ravel() > (noise[start : start + n * k] if n * k <= len(noise) else np.resize(noise, n * k)))
     of = hit // k
     token = np.concatenate([of, every])
     column = np.concatenate([hit - of * k, cls])
@@ -258,9 +277,11 @@ def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias:
     for f in range(FEATURES):
         rows = at[f]
         # A row's gradient has about the length of its tokens' misses, added up, in two of its k places.
-        low = int(rows.min())
-        own = np.bincount(rows - low, miss).astype(np.float32)
-        np.add.at(square, rows, miss * own.take(rows - low) * np.float32(2 / k))
+        before = square.take(rows)
+        np.add.at(square, rows, miss)
+        own = (square.take(rows) - before) * (miss * np.float32(2 / k))
+        square[rows] = before
+        np.add.at(square, rows, own)
         np.add.at(touched, rows, 1)
         rate = RATE / np.sqrt(square.take(rows))
         np.subtract.at(flat, (rows * k).take(token) + column, size * rate.take(token))
