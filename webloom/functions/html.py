@@ -25,6 +25,8 @@ NOFOLLOW = r'(?id)rel\s*?=\s*?"?nofollow"?'
 TITLE = r"(?id)<title.*?>(.*?)</title>"
 # Elements whose content is no text.
 SILENT = r"(?is)<(script|style|title|noscript|iframe|object|embed|head\s*/)\b[^>]*>.*?</\1\s*>"
+#: Unicode white space.
+SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 TAG = r"(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>"
 
 
@@ -68,12 +70,17 @@ def escaped(text: Column) -> Column:
     return text
 
 
+def trimmed(text: Column) -> Column:
+    """Without Unicode white space at the ends, which decoded entities may have put there."""
+    return F.regexp_replace(text, rf"^{SPACE}++|{SPACE}++$", "")
+
+
 def title(page: Column) -> Column:
-    return F.trim(unescaped(collapsed(stripped(F.regexp_extract(page, TITLE, 1)))))
+    return trimmed(unescaped(collapsed(stripped(F.regexp_extract(page, TITLE, 1)))))
 
 
 def text(page: Column) -> Column:
-    return F.trim(unescaped(collapsed(stripped(page))))
+    return trimmed(unescaped(collapsed(stripped(page))))
 
 
 def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", resolver: DataFrame | None = None) -> DataFrame:

@@ -3,8 +3,8 @@
 A program is a set of Column expressions.  In each super-step the vertices that
 are active or have messages compute; what they send is joined to their edges,
 combined by destination before the exchange, and delivered in the next step.
-Each step is written once, and the totals that decide on going on are gathered
-from the written table.
+Each step is written once, the totals that decide on going on are gathered
+from the written table, and the table before it is deleted.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.scratch import cut
+from webloom.scratch import cut, release
 
 
 class UnknownVertexError(ValueError):
@@ -73,6 +73,7 @@ def run(
     state = vertices if "active" in vertices.columns else vertices.withColumn("active", F.lit(True))
     messages: DataFrame | None = None
     totals: dict = {}
+    table: DataFrame | None = None  # the last written state
     step = 0
     while max_steps is None or step < max_steps:
         if before:
@@ -85,9 +86,11 @@ def run(
         runs = F.col("active") | F.coalesce("__any", F.lit(False))
         made = program.apply(step, totals)
         columns = [c for c in state.columns if c != "id"]
-        state = cut(inbox.select("id", *(F.when(runs, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in columns), runs.alias("__ran")), "state")
+        past, state = table, cut(inbox.select("id", *(F.when(runs, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in columns), runs.alias("__ran")), "state")
         found = state.agg(F.count_if("active").alias("__active"), F.count_if(F.col("__ran") & program.sends(step)).alias("__send"), *(c.alias(n) for n, c in program.totals.items())).first()
         totals = found.asDict()
+        table = state
+        release(past)
         senders = state.where(F.col("__ran") & program.sends(step)).drop("__ran")
         state = state.drop("__ran")
         if after:
@@ -99,4 +102,5 @@ def run(
             break
         out = senders.join(edges, senders.id == edges.src).select(F.col("dst"), *(c.alias(n) for n, c in program.message.items()))
         messages = out.groupBy("dst").agg(*(c.alias(n) for n, c in program.combine.items()), F.lit(True).alias("__any"))
+    release(edges)
     return Result(state, step, {k: v for k, v in totals.items() if not k.startswith("__")})

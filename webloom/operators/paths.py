@@ -39,18 +39,20 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, source, max_steps: int
 def path_to(paths: DataFrame, targets: DataFrame, max_hops: int = 1 << 20) -> DataFrame:
     """``id, distance, path`` (from the source on) of ``targets`` (id); unreachable ones have nulls.
 
-    All chains are followed at once, a hop a round.
+    All chains are followed at once, a hop a round; chains still open after ``max_hops`` raise.
     """
     hop = cut(paths.select(F.col("id").alias("at"), F.col("via").alias("next")), "hops")
     rows = targets.select("id").join(paths.select("id", "distance", "via"), "id", "left")
     open_ = rows.select("id", "distance", F.when(F.col("distance").isNotNull(), F.array("id")).alias("path"), F.col("via").alias("head"))
     done = None
-    for _ in range(max_hops):
+    for hops in range(max_hops):
         open_ = cut(open_, "chains")
         ended = open_.where("head IS NULL").select("id", "distance", "path")
         done = ended if done is None else done.unionByName(ended)
         open_ = open_.where("head IS NOT NULL")
         if not open_.limit(1).count():
             break
+        if hops == max_hops - 1:
+            raise RuntimeError(f"paths of more than {max_hops} hops")
         open_ = open_.join(hop, F.col("head") == F.col("at")).select("id", "distance", F.array_prepend("path", F.col("head")).alias("path"), F.col("next").alias("head"))
     return done

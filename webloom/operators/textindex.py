@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.bind import let
+from webloom.scratch import cut, release
 
 PAGE = 10
 
@@ -30,8 +30,7 @@ def analyse(text: Column, stop: bool = True) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
     if not stop:
         return words
-    held = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(words, lambda w: ~F.array_contains(held, w))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
 def index(docs: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
@@ -52,9 +51,53 @@ def update_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, text: Column, stop: bool = True) -> DataFrame:
-    """``term, key, tf, positions`` of every document; one exchange."""
-    each = docs.select(F.col(key), F.posexplode(analyse(text, stop)).alias("pos", "term"))
-    return each.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """``term, key, tf, positions`` of every document.
+
+    Texts are dealt by their key, and occurrences are then grouped where they
+    are; keys are unique, as ``index`` leaves them.
+    """
+    each = docs.select(F.col(key), text.alias("__text")).repartition(key).select(key, F.posexplode(analyse(F.col("__text"), stop)).alias("pos", "term"))
+    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", key, "tf", "positions")
+
+
+#: Parts of an index's postings, by the hash of the term.
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class Index:
+    """Written postings of several fields: ``bucket, term, key, field, tf, positions, length``, and the number of documents.
+
+    A query reads the buckets of its terms only, whatever the corpus holds.
+    """
+
+    postings: DataFrame
+    key: str
+    fields: tuple[str, ...]
+    documents: int
+    stop: bool = True
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of ``terms``."""
+        buckets = {r[0] for r in self.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(_bucket()).collect()}
+        return self.postings.where(F.col("bucket").isin(sorted(buckets)) & F.col("term").isin(terms))
+
+    def release(self) -> None:
+        release(self.postings)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+
+
+def build(docs: DataFrame, key: str = "link_id", fields: tuple[str, ...] = ("title", "content"), stop: bool = True) -> Index:
+    """The index of ``docs``, whose keys are unique; every text is analysed once."""
+    texts = docs.select(F.col(key), *(F.col(f).alias(f"__{i}") for i, f in enumerate(fields))).repartition(key)
+    words = F.array(*(F.struct(F.lit(f).alias("field"), analyse(F.col(f"__{i}"), stop).alias("words")) for i, f in enumerate(fields)))
+    each = texts.select(key, F.explode(words).alias("f")).select(key, "f.field", F.size("f.words").alias("length"), F.posexplode("f.words").alias("pos", "term"))
+    rows = each.groupBy(key, "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows = rows.select("term", F.col(key), "field", "tf", "positions", "length", _bucket().alias("bucket")).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term")
+    return Index(cut(rows, "postings", "bucket"), key, tuple(fields), docs.count(), stop)
 
 
 @dataclass(frozen=True)
@@ -80,46 +123,44 @@ def _terms(query: Query, stop: bool) -> list[str]:
     return [w for w in words if not (stop and w in STOP_WORDS)]
 
 
-def has_phrase(words: Column, terms: list[str]) -> Column:
-    if not terms:
-        return F.lit(False)
-    n = len(terms)
-    wanted = F.array(*map(F.lit, terms))
+def _in_a_row(terms: list[str]) -> Column:
+    """Whether the terms stand in a row, of ``at``: a map of terms to their positions in one field."""
+    distinct = list(dict.fromkeys(terms))
+    every = F.size("at") == len(distinct)
+    following = F.lit(True)
+    starts = F.element_at("at", F.lit(terms[0]))
 
-    def found(held: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(held) - n + 1, F.lit(1)))
-        return F.array_contains(held, terms[0]) & F.exists(starts, lambda i: F.slice(held, i, n) == wanted)
+    def goes_on(p: Column) -> Column:
+        found = following
+        for i, t in enumerate(terms[1:], 1):
+            found = found & F.array_contains(F.element_at("at", F.lit(t)), p + i)
+        return found
 
-    return let(words, found)
+    return every & F.exists(starts, goes_on)
 
 
-def search(docs: DataFrame, query: Query, key: str = "link_id", fields: tuple[str, ...] = ("title", "content"), rank: str = "rank", stop: bool = True) -> DataFrame:
+def search(docs: DataFrame, query: Query, key: str = "link_id", fields: tuple[str, ...] = ("title", "content"), rank: str = "rank", stop: bool = True, best_fields: bool = False, index: Index | None = None) -> DataFrame:
     """All hits: the columns of ``docs`` and ``text_score``, ``score``.
 
     ``rank="rank"`` orders by page rank, then text score; ``"blended"`` by
-    ``q * (q + page rank)``.  The text score is the sum over terms of
-    ``sqrt(tf) * idf`` in each field, divided by the root of its length.
+    ``q * (q + page rank)``.  A field's text score is the sum over terms of
+    ``sqrt(tf) * idf``, divided by the root of its length; a document's is the
+    sum of its fields' or, with ``best_fields``, the largest of them.  Without
+    an ``index`` one is built for this search and stays until the session ends.
     """
     terms = _terms(query, stop)
-    rows = docs.select("*", *(analyse(F.col(f), stop).alias(f"__{f}") for f in fields))
     if not terms:
-        return rows.where("false").select(*docs.columns, F.lit(0.0).alias("text_score"), F.lit(0.0).alias("score"))
-    if query.kind == "phrase":
-        hit = [has_phrase(F.col(f"__{f}"), terms) for f in fields]
-    else:
-        hit = [F.arrays_overlap(F.col(f"__{f}"), F.array(*map(F.lit, terms))) for f in fields]
-    match = hit[0]
-    for h in hit[1:]:
-        match = match | h
-    held = [F.exists(F.array(*(F.array_contains(f"__{f}", t) for f in fields)), lambda x: x) for t in dict.fromkeys(terms)]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(h).alias(f"t{i}") for i, h in enumerate(held)))
-    idf = [F.log(1 + (F.col("n") - F.col(f"t{i}") + 0.5) / (F.col(f"t{i}") + 0.5)) for i in range(len(held))]
-    score = F.lit(0.0)
-    for f in fields:
-        for i, t in enumerate(dict.fromkeys(terms)):
-            tf = F.size(f"__{f}") - F.size(F.array_remove(f"__{f}", t))
-            score = score + F.sqrt(tf) * idf[i] / F.sqrt(F.greatest(F.size(f"__{f}"), F.lit(1)))
-    found = rows.where(match).join(F.broadcast(stats)).withColumn("text_score", score)  # stats is one row
+        return docs.where("false").select("*", F.lit(0.0).alias("text_score"), F.lit(0.0).alias("score"))
+    index = index or build(docs, key, fields, stop)
+    rows = index.of(list(dict.fromkeys(terms)))
+    seen = rows.groupBy("term").agg(F.countDistinct(index.key).alias("df"))  # a row for each term of the query
+    rows = rows.join(F.broadcast(seen), "term")
+    idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.sqrt("tf") * idf / F.sqrt(F.greatest("length", F.lit(1)))
+    by_field = rows.groupBy(F.col(index.key).alias("__key"), "field").agg(F.sum(part).alias("q"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    hit = _in_a_row(terms) if query.kind == "phrase" else F.lit(True)
+    found = by_field.groupBy("__key").agg((F.max("q") if best_fields else F.sum("q")).alias("text_score"), F.bool_or(hit).alias("__hit")).where("__hit").drop("__hit")
+    found = docs.join(found, docs[key] == found["__key"]).drop("__key")
     pr = F.coalesce("page_rank", F.lit(0.0)) if "page_rank" in docs.columns else F.lit(0.0)
     final = F.col("text_score") * (F.col("text_score") + pr) if rank == "blended" else pr
     return found.select(*docs.columns, "text_score", final.alias("score"))

@@ -22,15 +22,25 @@ class State:
     docs: DataFrame
 
 
+def allowed(links: DataFrame, resolver: DataFrame | None = None) -> DataFrame:
+    """The rows whose ``url`` may be requested: http(s), no ending of media or code, no private host.
+
+    A host neither literal nor in ``resolver`` counts as public if no resolver
+    is given and is dropped if one is.
+    """
+    columns = links.columns
+    want = links.where(urls.is_web(F.col("url")) & urls.is_page(F.col("url")))
+    want = net.resolve_hosts(want.withColumn("__host_of", urls.host(F.col("url"))), "__host_of", resolver, "__private")
+    return want.where(~F.coalesce("__private", F.lit(resolver is not None))).select(columns)
+
+
 def fetched(links: DataFrame, pages: DataFrame, resolver: DataFrame | None = None) -> DataFrame:
     """``link_id, url, html`` of the links whose page may be used.
 
     ``pages``: ``url, html`` and, if known, ``status`` and ``content_type``.
     Cheap conditions on the URL come before the join.
     """
-    want = links.select(F.col("id").alias("link_id"), "url").where(urls.is_page(F.col("url")))
-    want = net.resolve_hosts(want.withColumn("host", urls.host(F.col("url"))), "host", resolver)
-    want = want.where(~F.coalesce("private", F.lit(resolver is not None))).select("link_id", "url")
+    want = allowed(links.select(F.col("id").alias("link_id"), "url"), resolver)
     got = pages
     if "status" in pages.columns:
         got = got.where(F.col("status").between(200, 299))
@@ -39,15 +49,18 @@ def fetched(links: DataFrame, pages: DataFrame, resolver: DataFrame | None = Non
     return want.join(got.select("url", "html"), "url").select("link_id", "url", "html")
 
 
-def fetch_live(links: DataFrame, getter: Callable[[str], tuple[int, str, str] | None]) -> DataFrame:
-    """``url, status, content_type, html`` by an injected ``getter``; URLs for which it gives None are dropped."""
+def fetch_live(links: DataFrame, getter: Callable[[str], tuple[int, str, str] | None], resolver: DataFrame | None = None) -> DataFrame:
+    """``url, status, content_type, html`` by an injected ``getter``; URLs for which it gives None are dropped.
+
+    Only what ``allowed`` lets through is ever requested.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(u, *got) for u in b["url"] if (got := getter(u)) is not None]
             yield pd.DataFrame(rows, columns=["url", "status", "content_type", "html"])
 
-    return links.select("url").where(urls.is_page(F.col("url"))).mapInPandas(run, "url string, status int, content_type string, html string")
+    return allowed(links.select("url"), resolver).mapInPandas(run, "url string, status int, content_type string, html string")
 
 
 def crawl_pass(state: State, pages: DataFrame, as_of: Column, candidates: DataFrame | None = None, resolver: DataFrame | None = None) -> tuple[State, int]:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom import schemas
 from webloom.functions import html, net, urls, uuids
 from webloom.operators import bsp, coloring, linkgraph, pagerank, paths, present, textindex
-from webloom.plans import crawl, pipeline
+from webloom.plans import crawl, frontend, pipeline
 from webloom.plans.crawl import State
+from webloom.scratch import cut, folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,7 +73,7 @@ def _plain_sql(x: str) -> str:
     x = rf"regexp_replace({x}, '[\t\n\f\r ]+', ' ', 'g')"
     for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{raw}')"
-    return f"trim({x}, ' ')"
+    return f"regexp_replace({x}, '^{html.SPACE}+|{html.SPACE}+$', '', 'g')"
 
 
 @query("SELECT page_id, " + _plain_sql(r"regexp_extract(html, '(?i)<title[^\n]*?>([^\n]*?)</title>', 1)") + " AS title FROM pages")
@@ -83,7 +86,7 @@ def text_extract(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", html.text(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 1000000000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS escaped FROM pages")
 def html_escape(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", html.escaped(F.col("html")).alias("escaped"))
 
@@ -157,8 +160,17 @@ _PAIRS_SQL = "SELECT event_id, user_id::VARCHAR AS src, lead(user_id) OVER (ORDE
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    """Consecutive users of the event log; the log's order is total, so the window has one partition of three narrow columns."""
-    return _t(spark, sf_dir, "events").select("event_id", "user_id", "ts").selectExpr("event_id", "cast(user_id as string) AS src", "cast(lead(user_id) OVER (ORDER BY ts, event_id) as string) AS dst", "ts").where("dst IS NOT NULL")
+    """Consecutive users of the event log.
+
+    The log is cut into ranges of its order; each range pairs its own rows, and
+    its last row meets the first one of the next range.
+    """
+    ranges = cut(_t(spark, sf_dir, "events").select("event_id", "user_id", "ts").repartitionByRange("ts", "event_id").withColumn("range", F.spark_partition_id()), "ranges")
+    firsts = ranges.groupBy("range").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("user_id"))
+    after = firsts.select("range", F.lead("user_id").over(Window.orderBy("range")).alias("next"))  # a row for each range
+    within = F.lead("user_id").over(Window.partitionBy("range").orderBy("ts", "event_id"))
+    rows = ranges.withColumn("own", within).join(F.broadcast(after), "range")
+    return rows.select("event_id", F.col("user_id").cast("string").alias("src"), F.coalesce("own", "next").cast("string").alias("dst"), "ts").where("dst IS NOT NULL")
 
 
 @query(
@@ -317,12 +329,12 @@ def pagerank_converged(spark, sf_dir):
     return pagerank.pagerank(*_parts(spark, sf_dir)).vertices.select("id", F.round("score", 9).alias("score"))
 
 
-def _costs(spark, sf_dir, only: str = "true") -> tuple[DataFrame, DataFrame]:
-    e = _pairs(spark, sf_dir).where("src <> dst").where(only).groupBy("src", "dst").agg((F.min(F.col("event_id") % 17) + 1).cast("long").alias("cost"))
+def _costs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = _pairs(spark, sf_dir).where("src <> dst").groupBy("src", "dst").agg((F.min(F.col("event_id") % 17) + 1).cast("long").alias("cost"))
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
 
 
-_COSTS_SQL = f"c AS (SELECT src, dst, min(event_id % 17) + 1 AS cost FROM ({_PAIRS_SQL}) WHERE dst IS NOT NULL AND src <> dst AND event_id % 9 = 0 GROUP BY ALL), v AS (SELECT src AS id FROM c UNION SELECT dst FROM c), s AS (SELECT min(id) AS id FROM v)"
+_COSTS_SQL = f"c AS (SELECT src, dst, min(event_id % 17) + 1 AS cost FROM ({_PAIRS_SQL}) WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL), v AS (SELECT src AS id FROM c UNION SELECT dst FROM c), s AS (SELECT min(id) AS id FROM v)"
 
 
 def _path_sql(hops: int = 24) -> str:
@@ -334,8 +346,7 @@ def _path_sql(hops: int = 24) -> str:
 
 @query(_path_sql())
 def sssp(spark, sf_dir):
-    """Over the ninth of the events that its SQL keeps; sssp_paths has the whole graph."""
-    v, e = _costs(spark, sf_dir, "event_id % 9 = 0")
+    v, e = _costs(spark, sf_dir)
     source = v.agg(F.min("id")).first()[0]
     return paths.shortest_paths(v, e, source).vertices.select("id", "distance")
 
@@ -377,6 +388,16 @@ def _index(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("link_id"), F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("content"), ((F.col("doc_id") % 97) / 97.0).alias("page_rank"), F.lit(None).cast("timestamp").alias("indexed_at"))
 
 
+@lru_cache(4)
+def _stored(spark, sf_dir) -> textindex.Index:
+    """The index of a session's documents: built once, read by every search."""
+    return textindex.build(_index(spark, sf_dir))
+
+
+def _search(spark, sf_dir, q: textindex.Query, **options) -> DataFrame:
+    return textindex.search(_index(spark, sf_dir), q, index=_stored(spark, sf_dir), **options)
+
+
 _STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in textindex.STOP_WORDS) + "]"
 
 
@@ -391,7 +412,7 @@ _MATCH = textindex.Query("idiot erer SRC7")
 
 @query(f"WITH {_MATCH_SQL} SELECT link_id, round(page_rank, 9) AS page_rank FROM hits")
 def search_match(spark, sf_dir):
-    return textindex.search(_index(spark, sf_dir), _MATCH).select("link_id", F.round("page_rank", 9).alias("page_rank"))
+    return _search(spark, sf_dir, _MATCH).select("link_id", F.round("page_rank", 9).alias("page_rank"))
 
 
 _PHRASE_SQL = f"WITH {_INDEX_SQL} SELECT link_id FROM d WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' attion thanedble ')"
@@ -399,7 +420,7 @@ _PHRASE_SQL = f"WITH {_INDEX_SQL} SELECT link_id FROM d WHERE contains(' ' || ar
 
 @query(_PHRASE_SQL)
 def search_phrase(spark, sf_dir):
-    return textindex.search(_index(spark, sf_dir), textindex.Query.parse('"attion thanedble"')).select("link_id")
+    return _search(spark, sf_dir, textindex.Query.parse('"attion thanedble"')).select("link_id")
 
 
 def _score_sql(terms: list[str]) -> str:
@@ -414,18 +435,35 @@ _PAGED_SQL = f"WITH {_MATCH_SQL}, s AS (SELECT link_id, page_rank, {_score_sql(_
 @query(f"{_PAGED_SQL} SELECT link_id, round(q, 6) AS text_score, round(page_rank, 9) AS score FROM s ORDER BY page_rank DESC, q DESC, link_id LIMIT 10 OFFSET 5")
 def search_paged(spark, sf_dir):
     q = textindex.Query(_MATCH.expression, offset=5)
-    return textindex.page(textindex.search(_index(spark, sf_dir), q), q).select("link_id", F.round("text_score", 6).alias("text_score"), F.round("score", 9).alias("score"))
+    return textindex.page(_search(spark, sf_dir, q), q).select("link_id", F.round("text_score", 6).alias("text_score"), F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_MATCH_SQL} SELECT count(*)::BIGINT AS total FROM hits")
 def search_total(spark, sf_dir):
     q = textindex.Query(_MATCH.expression, offset=1000)
-    return textindex.search(_index(spark, sf_dir), q).agg(F.count(F.lit(1)).alias("total"))
+    return _search(spark, sf_dir, q).agg(F.count(F.lit(1)).alias("total"))
 
 
 @query(f"{_PAGED_SQL} SELECT link_id, round(q * (q + page_rank), 6) AS score FROM s")
 def search_blended(spark, sf_dir):
-    return textindex.search(_index(spark, sf_dir), _MATCH, rank="blended").select("link_id", F.round("score", 6).alias("score"))
+    return _search(spark, sf_dir, _MATCH, rank="blended").select("link_id", F.round("score", 6).alias("score"))
+
+
+def _field_sql(field: str) -> str:
+    seen = "(SELECT count(*) FROM d WHERE list_contains(words, '{t}') OR list_contains(heading, '{t}'))"
+    return " + ".join(f"sqrt(len(list_filter({field}, lambda w: w = '{t}'))) * ln(1 + ((SELECT count(*) FROM d) - {seen.format(t=t)} + 0.5) / ({seen.format(t=t)} + 0.5)) / sqrt(greatest(len({field}), 1))" for t in _TERMS)
+
+
+@query(f"WITH {_MATCH_SQL} SELECT link_id, round(greatest({_field_sql('heading')}, {_field_sql('words')}), 6) AS text_score FROM hits")
+def search_best_fields(spark, sf_dir):
+    return _search(spark, sf_dir, _MATCH, best_fields=True).select("link_id", F.round("text_score", 6).alias("text_score"))
+
+
+@query(f"{_PAGED_SQL} SELECT link_id, url, round(q, 6) AS text_score, count(*) OVER () AS total FROM (SELECT link_id, 'https://' || source || '.example.com/' || doc_id AS url, q, page_rank FROM s JOIN documents ON doc_id::VARCHAR = link_id) ORDER BY page_rank DESC, q DESC, link_id LIMIT 10 OFFSET 10")
+def run_query(spark, sf_dir):
+    """A whole request: its words, hits, second page, and what the page shows of itself."""
+    rows, shown = frontend.run_query(_index(spark, sf_dir), _MATCH.expression, 10, index=_stored(spark, sf_dir))
+    return rows.select("link_id", "url", F.round("text_score", 6).alias("text_score"), F.lit(shown.total).cast("long").alias("total"))
 
 
 @query(f"WITH {_INDEX_SQL}, t AS (SELECT link_id, unnest(words) AS term FROM d) SELECT term, link_id, count(*)::BIGINT AS tf FROM t GROUP BY ALL")
@@ -518,18 +556,16 @@ def crawl_pass_counts(spark, sf_dir):
     return spark.createDataFrame([(used, state.links.count(), state.edges.count(), state.docs.count())], "used long, links long, edges long, docs long")
 
 
-@query()
+@query(rf"WITH {_FIRSTS}, {_HREFS.replace('FROM pages', 'FROM firsts')}, k AS (SELECT * FROM kept WHERE rn = 1), all_urls AS (SELECT split_part(url, '#', 1) AS url FROM pages UNION SELECT url FROM k) SELECT {_uuid_sql('url')} AS id, url FROM all_urls")
 def stream_crawl(spark, sf_dir):
-    """The pages as a file stream, crawled batch by batch; the links that result."""
+    """The pages as a file stream, crawled batch by batch; the links that result (its SQL: of one file)."""
     from webloom.sources.stores import open_store
     from webloom.streaming import services
 
     store = open_store(spark, "memory://")
     pages = _t(spark, sf_dir, "pages")
     stream = services.page_stream(spark, f"{sf_dir}/pages.parquet*", pages.schema)
-    from webloom.scratch import folder
-
-    services.supervise([services.crawl_service(stream.select("url", "html"), store, f"{folder(spark)}/stream-{datetime.now():%H%M%S%f}")])
+    services.supervise([services.crawl_service(stream.select("page_id", "url", "html"), store, f"{folder(spark)}/stream-{datetime.now():%H%M%S%f}")])
     return store.load().links.select("id", "url")
 
 

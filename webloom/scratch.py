@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, SparkSession] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (tests, local runs)."""
+    """``spark.checkpoint.dir``, or on one machine a temporary folder where it is unset (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"/tmp/webloom-{uuid.uuid4().hex}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str = "step") -> DataFrame:
-    """``df`` as a written table: its lineage ends here, and lost executors don't matter."""
+def cut(df: DataFrame, tag: str = "step", *by: str) -> DataFrame:
+    """``df`` as a written table, partitioned by ``by``: its lineage ends here, and lost executors don't matter."""
     path = f"{folder(df.sparkSession)}/webloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    _made[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._webloom_path = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete a table that ``cut`` wrote and that nothing reads any more; others are left alone."""
+    path = getattr(df, "_webloom_path", None)
+    spark = _made.pop(path, None)
+    if spark is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
+
+
+atexit.register(_sweep)

@@ -31,7 +31,9 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
 def crawl_service(stream: DataFrame, store, checkpoint: str, every: str | None = None, clock: Callable[[], datetime] = _now) -> StreamingQuery:
     """Each batch of pages (url, html) is submitted and crawled in one pass.
 
-    A batch that runs again after a failure gives the same ids and edges.
+    Of several pages of a URL in a batch, that of the smallest ``page_id``, if
+    there is one, and then the smallest text is taken.  A batch that runs again
+    after a failure gives the same ids and edges, at the time of that run.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -39,7 +41,8 @@ def crawl_service(stream: DataFrame, store, checkpoint: str, every: str | None =
         new = seeds(batch)
         links = linkgraph.upsert_links(state.links, new.select("url", "retrieved_at"))
         known = State(links, state.edges, state.docs)
-        pages = batch.withColumn("url", F.substring_index("url", "#", 1)).dropDuplicates(["url"])
+        order = F.struct(*(c for c in ("page_id", "html") if c in batch.columns))
+        pages = batch.groupBy(F.substring_index("url", "#", 1).alias("url")).agg(F.min_by("html", order).alias("html"))
         mine = links.join(pages.select("url"), "url", "left_semi")
         done, _ = crawl_pass(known, pages, F.lit(clock()), candidates=mine)
         store.save(done)
