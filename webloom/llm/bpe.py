@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Texts above so many characters are encoded in pieces of about this size.
 PIECE = 1 << 16
@@ -77,11 +77,26 @@ def _ranks(path: str) -> bytes:
     return got
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", count: str = "n_tokens", size: int = PIECE) -> DataFrame:
-    """Adds ``out`` (binary: ids as little-endian unsigned 32-bit integers) and ``count`` (long)."""
+def _raw(enc, ids: bytes | None) -> bytes | None:
+    if ids is None or len(ids) % 4:
+        return None
+    try:
+        return enc.decode_bytes(np.frombuffer(ids, "<u4").tolist())
+    except KeyError:
+        return None
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", count: str = "n_tokens", size: int = PIECE, decoded: str | None = None) -> DataFrame:
+    """Adds ``out`` (binary: ids as little-endian unsigned 32-bit integers) and ``count`` (long).
+
+    With ``decoded``, also the raw bytes that the ids decode to, from the same
+    worker: a table that needs both holds one encoding a task, not two.
+    """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(_ranks(ranks_path))
-    keep = [f for f in df.schema.fields if f.name not in (out, count)]
-    schema = T.StructType([*keep, T.StructField(out, T.BinaryType()), T.StructField(count, T.LongType())])
+    new = [T.StructField(out, T.BinaryType()), T.StructField(count, T.LongType()), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    keep = [f for f in df.schema.fields if f.name not in [x.name for x in new]]
+    schema = T.StructType([*keep, *new])
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,14 +104,18 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
         for batch in batches:
             for part in slices(batch):
                 ids = [_ids(enc, t, size) for t in part.column(text).to_pylist()]
-                made = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, out, count])
+                packed = [x.tobytes() for x in ids]
+                made = [pa.array(packed, pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+                if decoded:
+                    made.append(pa.array([_raw(enc, x) for x in packed], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: the raw bytes of ``ids``."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(_ranks(ranks_path))
     keep = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType([*keep, T.StructField(out, T.BinaryType())])
@@ -104,18 +123,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(shared.value, pattern)
-
-        def one(x: bytes | None) -> bytes | None:
-            if x is None or len(x) % 4:
-                return None
-            try:
-                return enc.decode_bytes(np.frombuffer(x, "<u4").tolist())
-            except KeyError:
-                return None
-
         for batch in batches:
             for part in slices(batch):
-                made = pa.array([one(x) for x in part.column(ids).to_pylist()], pa.binary())
+                made = pa.array([_raw(enc, x) for x in part.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], names=[*names, out])
 
     return df.mapInArrow(run, schema)

@@ -82,8 +82,16 @@ def discard(*tables: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python gets batches of 4 MB in this session, unless it has a limit of its own; rows alone don't bound their bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, _WRITING[key])
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
     """``fn`` over the Arrow batches of ``df``; it sees whole rows and keeps no state."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, map_arrow, slices
+from .common import fields, map_arrow, slices, small_batches
 
 ACCEPT = 0.5
 CONTEXT_GAIN = 0.35
@@ -188,6 +188,7 @@ def masked(text: str) -> str:
 
 def mask(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``text`` masked, all columns in place; null stays null."""
+    small_batches(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

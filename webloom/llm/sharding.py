@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 
 #: Raw bytes of text a bucket holds on average.
 BUCKET_BYTES = 24 << 20
@@ -64,6 +66,7 @@ def shuffle(df: DataFrame, shards: int = 8, seed: int = 17, size: str = "text",
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    small_batches(df.sparkSession)
     df = df.drop("shard", "slot")
     keys = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     hashed = df.withColumn(_HASH, F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in keys)))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, id_crc, map_arrow, materialize, slices
+from .common import fields, id_crc, map_arrow, materialize, slices, small_batches
 
 #: Labelled rows that are read for learning, at most.
 MAX_ROWS = 16_000
@@ -305,6 +305,7 @@ def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "tex
 
 def reject(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df``, all columns, whose score is below ``threshold``."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lexicon.automaton()
