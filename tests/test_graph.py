@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import bsp, coloring, linkgraph, pagerank, paths
-from webloom.functions.uuids import Range
+from webloom.functions.uuids import NoPartitionDataError, Range, partition_info, uuid_of
 
 
 def _graph(spark, edges, extra=()):
@@ -130,6 +130,42 @@ def test_link_store(spark):
         linkgraph.find_link(two, "nobody")
 
 
+def test_totals_know_their_change(spark):
+    v = spark.createDataFrame([(1, 5), (2, 1)], "id long, n long")
+    seen, begun = [], []
+    program = bsp.Program(message={"x": F.lit(1)}, combine={"x": F.sum("x")}, apply=lambda step, totals: {"n": F.col("n") * 2}, sends=lambda step: F.lit(False), totals={"sum": F.sum("n"), "most": F.max("n")})
+    none = spark.createDataFrame([], "src long, dst long")
+    bsp.run(v, none, program, max_steps=3, before=begun.append, after=lambda step, totals: seen.append((totals["sum"], totals.delta["sum"], totals.delta["most"])))
+    assert seen == [(12, 12, 10), (24, 12, 10), (48, 24, 20)] and begun == [0, 1, 2]
+
+
+def test_a_vertex_added_again_is_overwritten(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", None, 3), ("b", 7, 1), ("a", 2, 2)], "id string, v int, at int")
+    assert {(r.id, r.v) for r in bsp.last_wins(rows, "at").collect()} == {("a", None), ("b", 7)}
+
+
+def test_partition_info():
+    assert partition_info("web-index-3", lambda: ["a", "b", "c", "d"]) == (3, 4)
+    assert partition_info("web-0", 2) == (0, 2)
+    with pytest.raises(ValueError):
+        partition_info("web", 2)
+
+    def nobody():
+        raise OSError("no such service")
+
+    with pytest.raises(NoPartitionDataError):
+        partition_info("web-1", nobody)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 300])
+def test_part_of_an_id(spark, parts):
+    bounds = Range(parts).bounds()
+    ids = [r.u for r in spark.range(200).select(uuid_of(F.col("id")).alias("u")).collect()] + [a for a, _ in bounds]
+    got = {r.u: r.i for r in spark.createDataFrame([(i,) for i in ids], "u string").select("u", Range(parts).index(F.col("u")).alias("i")).collect()}
+    assert got == {i: next(k for k, (a, b) in enumerate(bounds) if a <= i < b) for i in ids}
+    assert spark.range(1).select(Range(parts).index(F.lit(bounds[-1][1])).alias("i")).first().i is None
+
+
 def test_ranges():
     assert [b[1][:2] for b in Range(4).bounds()] == ["40", "80", "c0", "ff"]
     assert [b[1][:2] for b in Range(3).bounds()] == ["55", "aa", "ff"]

@@ -199,3 +199,15 @@ def test_best_fields_take_the_larger_field(spark):
     both = {r.link_id: r.text_score for r in textindex.search(docs, q).collect()}
     best = {r.link_id: r.text_score for r in textindex.search(docs, q, best_fields=True).collect()}
     assert best["a"] == best["b"] == both["b"] < both["a"]
+
+
+def test_comparison_but_for_case(spark):
+    pairs = [("Straße", "STRAẞE", True), ("Straße", "strasse", False), ("ΛΌΓΟΣ", "λόγος", True), ("K", "k", True), ("ſ", "S", True), ("é", "e", False)]
+    rows = spark.createDataFrame(pairs, "a string, b string, same boolean")
+    assert all(r.got == r.same for r in rows.select("same", (present.folded(F.col("a")) == present.folded(F.col("b"))).alias("got")).collect())
+    assert rows.select(present.match_ratio(F.lit("Der ΛΌΓΟΣ  der"), ["λόγος"]).alias("r")).first().r == pytest.approx(1 / 3)
+
+
+def test_item_of_a_result_page(spark):
+    got = spark.range(1).select(present.item(F.lit('/a?"b"'), F.lit("<T>"), F.lit("<em>x</em>")).alias("h")).first().h
+    assert got == '<li><a href="/a?&#34;b&#34;">&lt;T&gt;</a><p><em>x</em></p></li>'

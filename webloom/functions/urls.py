@@ -35,7 +35,8 @@ def without_fragment(url: Column) -> Column:
 
 def with_slash(url: Column) -> Column:
     """A base address ends in a slash; an empty one is no base."""
-    return F.regexp_replace(F.nullif(url, F.lit("")), "/?$", "/")
+    given = F.nullif(url, F.lit(""))
+    return F.when(given.endswith("/"), given).otherwise(F.concat(given, F.lit("/")))
 
 
 def is_page(url: Column) -> Column:

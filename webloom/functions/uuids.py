@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -59,13 +60,38 @@ class Range:
         return [self.part(i) for i in range(self.parts)]
 
     def index(self, value: Column) -> Column:
-        """The part that a UUID is in; null outside."""
-        found = F.lit(None).cast("int")
-        for i, (a, b) in reversed(list(enumerate(self.bounds()))):
-            found = F.when(in_range(value, a, b), F.lit(i)).otherwise(found)
-        return found
+        """The part that a UUID is in, by halving; null outside."""
+        edges = self.bounds()
+
+        def within(low: int, high: int) -> Column:
+            if high - low == 1:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(value < edges[middle][0], within(low, middle)).otherwise(within(middle, high))
+
+        return F.when(in_range(value, edges[0][0], edges[-1][1]), within(0, self.parts))
 
 
 def part_of_host(name: Column) -> Column:
     """The number after the last dash of a host name, or null."""
     return F.regexp_extract(name, r"-([0-9]+)$", 1).try_cast("int")
+
+
+class NoPartitionDataError(LookupError):
+    """It isn't known yet how many parts there are."""
+
+
+def partition_info(host: str, members: Callable[[], Sequence] | int) -> tuple[int, int]:
+    """The part of the machine named ``host`` and how many there are.
+
+    ``members`` gives the service's current members, or is their fixed number.
+    """
+    end = host.rpartition("-")[2]
+    if not end.isdecimal():
+        raise ValueError(f"no part's number at the end of {host!r}")
+    if isinstance(members, int):
+        return int(end), members
+    try:
+        return int(end), len(members())
+    except (OSError, LookupError) as e:
+        raise NoPartitionDataError(str(e)) from e

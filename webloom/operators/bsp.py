@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from numbers import Number
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,16 @@ class UnknownVertexError(ValueError):
     """A message was sent to, or an edge begins at, a vertex that doesn't exist."""
 
 
+class Totals(dict):
+    """Aggregates after a step; ``delta`` has by how much numbers changed since the step before, from 0 in the first."""
+
+    delta: dict = {}
+
+    def since(self, before: Mapping) -> Totals:
+        self.delta = {k: v - (before.get(k) or 0) for k, v in self.items() if isinstance(v, Number)}
+        return self
+
+
 @dataclass(frozen=True)
 class Program:
     """What every vertex does in a step.
@@ -48,6 +59,12 @@ class Result:
     totals: dict
 
 
+def last_wins(vertices: DataFrame, *order: str) -> DataFrame:
+    """One row for each ``id``, the last by ``order``: a vertex that is added again is overwritten."""
+    values = [c for c in vertices.columns if c != "id"]
+    return vertices.groupBy("id").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__v")).select("id", *(F.col(f"__v.{c}").alias(c) for c in values))
+
+
 def run(
     vertices: DataFrame,
     edges: DataFrame,
@@ -72,7 +89,7 @@ def run(
     edges = cut(edges.repartition("src"), "edges")
     state = vertices if "active" in vertices.columns else vertices.withColumn("active", F.lit(True))
     messages: DataFrame | None = None
-    totals: dict = {}
+    totals = Totals()
     table: DataFrame | None = None  # the last written state
     step = 0
     while max_steps is None or step < max_steps:
@@ -88,7 +105,7 @@ def run(
         columns = [c for c in state.columns if c != "id"]
         past, state = table, cut(inbox.select("id", *(F.when(runs, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in columns), runs.alias("__ran")), "state")
         found = state.agg(F.count_if("active").alias("__active"), F.count_if(F.col("__ran") & program.sends(step)).alias("__send"), *(c.alias(n) for n, c in program.totals.items())).first()
-        totals = found.asDict()
+        totals = Totals(found.asDict()).since(totals)
         table = state
         release(past)
         senders = state.where(F.col("__ran") & program.sends(step)).drop("__ran")

@@ -9,6 +9,8 @@ from urllib.parse import urlencode
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.html import escaped
+
 SUMMARY = 256
 # A sentence ends after . ! ? behind a lower letter, symbol, number or blank, before one more of what may follow and any character.
 _BREAK = r"(?<=[\p{Ll}\p{S}\p{N}\s][.!?])(?=[\p{P}\p{S}\p{N}\p{Lu}\s](?s:.))"
@@ -23,11 +25,20 @@ def terms_of(expression: str) -> list[str]:
     return expression.strip('"').split()
 
 
+def folded(text: Column) -> Column:
+    """For comparison but for case, in any script.
+
+    Letters that case conversion would merge with others (sharp s with ss, the
+    dotless i with i) stay apart; the signs of Kelvin, Angstrom and Ohm are letters.
+    """
+    return F.upper(F.translate(text, "\u1e9e\u00df\u0131\u212a\u212b\u2126", "\ue000\ue000\ue001k\u00e5\u03c9"))
+
+
 def match_ratio(sentence: Column, terms: list[str]) -> Column:
     """Share of a sentence's words that equal a term but for case."""
-    wanted = F.array(*(F.lit(t.lower()) for t in terms)) if terms else F.array().cast("array<string>")
-    words = F.filter(F.split(sentence, r"\s+"), lambda w: F.length(w) > 0)
-    hits = F.size(F.filter(words, lambda w: F.array_contains(wanted, F.lower(w))))
+    wanted = F.array(*(folded(F.lit(t)) for t in terms)) if terms else F.array().cast("array<string>")
+    words = F.filter(F.split(folded(sentence), r"\s+"), lambda w: F.length(w) > 0)
+    hits = F.size(F.filter(words, lambda w: F.array_contains(wanted, w)))
     return (hits / F.greatest(F.size(words), F.lit(1))).cast("float")
 
 
@@ -76,6 +87,11 @@ def title(title_: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(title_, F.lit("")), url)
 
 
+def item(url: Column, title_: Column, summary_: Column) -> Column:
+    """A hit as an item of a result page; ``summary_`` is HTML already."""
+    return F.concat(F.lit('<li><a href="'), escaped(url), F.lit('">'), escaped(title_), F.lit("</a><p>"), F.coalesce(summary_, F.lit("")), F.lit("</p></li>"))
+
+
 @dataclass(frozen=True)
 class Pages:
     start: int

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from webloom.scratch import cut
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -33,12 +35,18 @@ def dynamic_pool(process: Stage, most: int) -> Stage:
     return lambda df: process(df.hint("rebalance").coalesce(most))
 
 
-def broadcast(*processes: Stage) -> Stage:
-    """Each row goes to every process; their outputs are united."""
+def broadcast(*processes: Stage, once: bool = False) -> Stage:
+    """Each row goes to every process; their outputs are united.
+
+    With ``once`` the rows are written before, so that what made them runs once
+    whatever the number of processes; else it may run, pruned, in each of them.
+    """
     if not processes:
         raise ValueError("a broadcast has a process at least")
 
     def run(df: DataFrame) -> DataFrame:
+        if once and not df.isStreaming:
+            df = cut(df, "broadcast")
         outs = [p(df) for p in processes]
         done = outs[0]
         for o in outs[1:]:

@@ -124,6 +124,22 @@ def url_resolve(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", urls.resolve(base, target).alias("resolved"))
 
 
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://b.example.com/d/' WHEN 1 THEN 'https://b.example.com/e/' END AS base FROM pages")
+def base_href(spark, sf_dir):
+    """The first base of a page, with a slash at its end; an empty one is none."""
+    tag = F.when(F.col("page_id") % 4 == 0, '<BASE target="x" href = "https://b.example.com/d"><base href="/z">').when(F.col("page_id") % 4 == 1, '<base href="https://b.example.com/e/">').otherwise('<base href="">')
+    return _t(spark, sf_dir, "pages").select("page_id", urls.with_slash(html.base_href(F.concat(tag, "html"))).alias("base"))
+
+
+@query("SELECT page_id::VARCHAR AS link_id, url || '?p=' || page_id AS url FROM pages WHERE page_id % 7 IN (0, 1, 2, 3) AND page_id % 3 < 2")
+def fetch_filters(spark, sf_dir):
+    """Pages that may be used: by status and by kind of content."""
+    status = F.element_at(F.array(*(F.lit(s) for s in (200, 204, 250, 299, 300, 404, 199))), (F.col("page_id") % 7 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("text/html; charset=utf-8"), F.lit("application/xhtml+xml, html"), F.lit("image/png")), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.concat("url", F.lit("?p="), "page_id").alias("url"), "html", status.alias("status"), kind.alias("content_type"))
+    return crawl.fetched(pages.select("id", "url"), pages).select("link_id", "url")
+
+
 _IP_SQL = "CASE user_id % 5 WHEN 0 THEN '10.' || event_id % 256 || '.0.1' WHEN 1 THEN '172.' || event_id % 64 || '.3.4' WHEN 2 THEN '192.' || (event_id % 3 + 167) || '.5.6' WHEN 3 THEN '169.254.' || event_id % 256 || '.' || user_id % 256 ELSE (event_id % 256) || '.8.8.8' END"
 
 
@@ -238,6 +254,21 @@ def uuid_bytes(spark, sf_dir):
     return ids.select(uuids.from_bytes(F.col("b")).alias("id"), F.lower(F.hex("b")).alias("raw"))
 
 
+@query(f"SELECT {_uuid_sql('n_nationkey::VARCHAR')} AS id, 'https://' || n_name AS url FROM nation WHERE n_nationkey = 6")
+def link_lookup(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation")
+    links = nation.select(uuids.uuid_of(F.col("n_nationkey")).alias("id"), F.concat(F.lit("https://"), "n_name").alias("url"))
+    wanted = spark.range(1).select(uuids.uuid_of(F.lit(6))).first()[0]
+    return spark.createDataFrame([tuple(linkgraph.find_link(links, wanted))], "id string, url string")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 16)::INT END AS part FROM supplier")
+def host_partition(spark, sf_dir):
+    """Which part a host has by its name."""
+    name = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("web-index-"), F.col("s_suppkey") % 16)).otherwise("web-index")
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", uuids.part_of_host(name).alias("part"))
+
+
 @query("SELECT event_id::VARCHAR AS id, 'https://e' || event_id AS url, CASE WHEN event_id % 10 > 0 THEN ts END AS retrieved_at FROM events WHERE event_id % 10 = 0 OR ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def reindex_candidates(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
@@ -295,6 +326,24 @@ def bsp_aggregators(spark, sf_dir):
     return spark.createDataFrame([(got["vertices"], got["int_sum"], round(got["float_sum"] or 0.0, 4), got["most"])], "vertices long, int_sum long, float_sum double, most long")
 
 
+@query(
+    "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT step, sum(greatest(n - step - 1, 0))::BIGINT AS total FROM c, (SELECT unnest(range(0, 4)) AS step) GROUP BY step) SELECT step::INT AS step, total, (total - coalesce(lag(total) OVER (ORDER BY step), 0))::BIGINT AS change FROM t"
+)
+def bsp_deltas(spark, sf_dir):
+    """A total of each step, and its change since the step before."""
+    v = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    program = bsp.Program(message={"x": F.lit(1)}, combine={"x": F.sum("x")}, apply=lambda step, totals: {"n": F.greatest(F.col("n") - 1, F.lit(0)).cast("long")}, sends=lambda step: F.lit(False), totals={"total": F.sum("n")})
+    seen: list[tuple] = []
+    bsp.run(v, spark.createDataFrame([], "src long, dst long"), program, max_steps=4, after=lambda step, totals: seen.append((step, totals["total"], totals.delta["total"])))
+    return spark.createDataFrame(seen, "step int, total long, change long")
+
+
+@query("SELECT user_id AS id, value, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def vertex_overwrite(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "value", "event_type", "ts", "event_id")
+    return bsp.last_wins(rows, "ts", "event_id").select("id", "value", "event_type")
+
+
 @query(f"WITH {_USERS_SQL} SELECT id, (SELECT count(*) FROM e WHERE src = id)::BIGINT AS degree FROM v")
 def out_degree(spark, sf_dir):
     return pagerank.out_degrees(*_users(spark, sf_dir))
@@ -351,11 +400,22 @@ def sssp(spark, sf_dir):
     return paths.shortest_paths(v, e, source).vertices.select("id", "distance")
 
 
-@query()
+def _chains_sql(hops: int = 24) -> str:
+    """As the vertex program: only vertices that fell offer, and of equal offers the smaller sender's is taken."""
+    out = [f"WITH RECURSIVE {_COSTS_SQL}, d0 AS MATERIALIZED (SELECT v.id, CASE WHEN v.id = s.id THEN 0 END::BIGINT AS d, NULL::VARCHAR AS via, v.id = s.id AS fell FROM v, s)"]
+    for k in range(1, hops + 1):
+        offers = f"(SELECT dst, d + cost AS offer, src FROM d{k - 1} JOIN c ON src = id WHERE fell QUALIFY row_number() OVER (PARTITION BY dst ORDER BY d + cost, src) = 1)"
+        better = "coalesce(offer < coalesce(d, offer + 1), false)"
+        out.append(f"d{k} AS MATERIALIZED (SELECT id, CASE WHEN {better} THEN offer ELSE d END AS d, CASE WHEN {better} THEN src ELSE via END AS via, {better} AS fell FROM d{k - 1} LEFT JOIN {offers} ON dst = id)")
+    out.append(f"chain AS (SELECT id, d, via, id AS path FROM d{hops} WHERE d IS NOT NULL UNION ALL SELECT chain.id, chain.d, x.via, x.id || '>' || path FROM chain JOIN d{hops} x ON x.id = chain.via)")
+    return ", ".join(out) + f" SELECT v.id, chain.d::BIGINT AS distance, path FROM v LEFT JOIN chain ON chain.id = v.id AND chain.via IS NULL"
+
+
+@query(_chains_sql())
 def sssp_paths(spark, sf_dir):
     v, e = _costs(spark, sf_dir)
     source = v.agg(F.min("id")).first()[0]
-    return paths.path_to(paths.shortest_paths(v, e, source).vertices, v)
+    return paths.path_to(paths.shortest_paths(v, e, source).vertices, v).withColumn("path", F.array_join("path", ">"))
 
 
 _REGIONS_SQL = "e AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)"
@@ -471,6 +531,19 @@ def inverted_index(spark, sf_dir):
     return textindex.postings(_index(spark, sf_dir), "link_id", F.col("content")).select("term", "link_id", "tf")
 
 
+@query(r"WITH t AS (SELECT doc_id::VARCHAR AS link_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) SELECT term, link_id, count(*)::BIGINT AS tf FROM t GROUP BY ALL")
+def inverted_index_all(spark, sf_dir):
+    """With the words that are otherwise left out."""
+    return textindex.postings(_index(spark, sf_dir), "link_id", F.col("content"), stop=False).select("term", "link_id", "tf")
+
+
+@query("SELECT doc_id::VARCHAR AS link_id, 'https://' || source || '.example.com/' || doc_id AS url, concat_ws(' ', lang, source) AS title FROM documents ORDER BY doc_id LIMIT 1")
+def document_lookup(spark, sf_dir):
+    first = _t(spark, sf_dir, "documents").agg(F.min("doc_id")).first()[0]
+    row = textindex.find_document(_index(spark, sf_dir).select("link_id", "url", "title"), str(first))
+    return spark.createDataFrame([tuple(row)], "link_id string, url string, title string")
+
+
 @query(f"WITH {_INDEX_SQL}, t AS (SELECT link_id, unnest(words) AS term FROM d) SELECT term, count(DISTINCT link_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM t GROUP BY term")
 def term_df(spark, sf_dir):
     return textindex.postings(_index(spark, sf_dir), "link_id", F.col("content")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -496,18 +569,55 @@ def update_scores(spark, sf_dir):
 # ---------------------------------------------------------------- presentation
 
 
-@query()
+# Sentences by looking at each character's neighbours, since DuckDB's expressions have no look-around.
+_SENTENCES_SQL = r"""c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+b AS (SELECT *, coalesce(regexp_matches(lag(c) OVER w, '[\p{Ll}\p{S}\p{N}\t\n\x0B\f\r ]') AND c IN ('.', '!', '?') AND regexp_matches(lead(c) OVER w, '[\p{P}\p{S}\p{N}\p{Lu}\t\n\x0B\f\r ]') AND lead(c, 2) OVER w IS NOT NULL, false) AS ends FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM b),
+s AS (SELECT doc_id, pos, string_agg(c, '' ORDER BY i) AS sentence FROM p GROUP BY ALL)"""
+_SUMMARY_SQL = rf"""WITH {_SENTENCES_SQL}, w AS (SELECT *, list_filter(regexp_split_to_array(sentence, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS words FROM s),
+r AS (SELECT doc_id, pos, sentence, (len(list_filter(words, lambda x: lower(x) IN ('the', 'la', 'der'))) / greatest(len(words), 1))::FLOAT AS ratio FROM w),
+t AS (SELECT *, 256 - coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY ratio DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS room FROM r WHERE ratio > 0),
+k AS (SELECT doc_id, pos, CASE WHEN length(sentence) > room THEN substr(sentence, 1, room) || '...' ELSE sentence END AS taken FROM t WHERE room > 0),
+g AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <> 1 THEN '...' ELSE '' END || taken || CASE WHEN taken LIKE '%.' THEN '' ELSE '.' END AS part FROM k)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN trim(coalesce(string_agg(part, '' ORDER BY pos), ''), ' ') END AS summary FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.text"""
+
+
+@query(f"WITH {_SENTENCES_SQL} SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN count(sentence)::INT END AS sentences, max(length(sentence))::INT AS longest FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.text")
 def sentence_stats(spark, sf_dir):
     s = present.sentences(F.col("text"))
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("sentences"), F.array_max(F.transform(s, lambda x: F.length(x))).alias("longest"))
 
 
-@query()
+@query(_SUMMARY_SQL)
 def summary_budget(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     return d.select("doc_id", present.summary(F.col("text"), ["the", "la", "der"]).alias("summary"))
 
 
+@query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS words FROM documents) SELECT doc_id, round(((len(list_filter(words, lambda x: lower(x) IN ('the', 'la', 'der'))) / greatest(len(words), 1))::FLOAT)::DOUBLE, 6) AS ratio FROM w")
+def match_ratio(spark, sf_dir):
+    """Terms of a typed query, equal to words but for case."""
+    ratio = present.match_ratio(F.col("text"), present.terms_of('"THE la Der"'))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.round(ratio.cast("double"), 6).alias("ratio"))
+
+
+def _escaped_sql(x: str) -> str:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
+        x = f"replace({x}, '{raw}', '{entity}')"
+    return x
+
+
+_ITEM_URL = "concat(url, '?a=1&b=', page_id)"
+
+
+@query(f"""SELECT page_id, '<li><a href="' || {_escaped_sql(_ITEM_URL)} || '">' || {_escaped_sql("CASE WHEN page_id % 2 = 0 THEN 'A <b> & \"c\"' ELSE " + _ITEM_URL + " END")} || '</a><p>' || {_escaped_sql("substr(html, 1, 40)")} || '</p></li>' AS item FROM pages""")
+def results_page(spark, sf_dir):
+    """Each page as an item of a result page."""
+    u = F.expr(_ITEM_URL)
+    title = present.title(F.when(F.col("page_id") % 2 == 0, 'A <b> & "c"').otherwise(""), u)
+    return _t(spark, sf_dir, "pages").select("page_id", present.item(u, title, html.escaped(F.substring("html", 1, 40))).alias("item"))
+
+
 @query("SELECT doc_id, regexp_replace(text, '(?:idiot|the|la)', '<em>\\0</em>', 'gi') AS marked FROM documents")
 def highlight(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", present.highlight(F.col("text"), ["the", "la", "idiot"]).alias("marked"))
@@ -540,7 +650,7 @@ def pipeline_broadcast_union(spark, sf_dir):
     p = pipeline.Pipeline(
         pipeline.fixed_pool(lambda df: df.where("value > 5"), 4),
         pipeline.fifo(lambda df: df.select("event_id", "value")),
-        pipeline.broadcast(lambda df: df.withColumn("branch", F.lit("graph")), lambda df: df.select("event_id", F.lit("index").alias("branch"), (F.col("value") * 2).alias("value"))),
+        pipeline.broadcast(lambda df: df.withColumn("branch", F.lit("graph")), lambda df: df.select("event_id", F.lit("index").alias("branch"), (F.col("value") * 2).alias("value")), once=True),
     )
     return p.apply(_t(spark, sf_dir, "events")).select("event_id", "branch", "value")
 
