@@ -34,10 +34,15 @@ def analyse(text: Column, stop: bool = True) -> Column:
 
 
 def index(docs: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
-    """``docs`` with ``batch`` (link_id, url, title, content, page_rank): known documents keep their rank."""
+    """``docs`` with ``batch`` (link_id, url, title, content, page_rank): known documents keep their rank.
+
+    Of several rows of a link in a batch the smallest by url, title and content is taken.
+    """
     if batch.where("link_id IS NULL").limit(1).count():
         raise MissingLinkIdError("a document needs a link id")
-    new = batch.dropDuplicates(["link_id"]).select("link_id", *(F.col(c).alias(f"n_{c}") for c in ("url", "title", "content")), F.col("page_rank").alias("n_rank") if "page_rank" in batch.columns else F.lit(0.0).alias("n_rank"), F.lit(True).alias("n"))
+    rank = F.col("page_rank") if "page_rank" in batch.columns else F.lit(0.0)
+    one = batch.groupBy("link_id").agg(F.min(F.struct("url", "title", "content", rank.alias("rank"))).alias("b"))
+    new = one.select("link_id", *(F.col(f"b.{c}").alias(f"n_{c}") for c in ("url", "title", "content", "rank")), F.lit(True).alias("n"))
     both = docs.withColumn("o", F.lit(True)).join(new, "link_id", "full_outer")
     pick = lambda c: F.when(F.col("n"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
     rank = F.when(F.col("o"), F.col("page_rank")).otherwise(F.coalesce("n_rank", F.lit(0.0)))
