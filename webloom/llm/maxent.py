@@ -36,13 +36,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +68,8 @@ LOGIT = np.float32(60)
 UNIT = 512
 #: Training tokens of a task, at least, where that leaves two tasks a core.
 SHARE = 1 << 24
+#: Bytes of texts whose words a task counts together.
+COUNTED = 1 << 24
 #: The first pass reads this share of the training texts.
 WARM = 8
 PRIOR = 0.1
@@ -75,11 +77,6 @@ PRIOR = 0.1
 _END_TOKEN = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, and an end that no word equals."""
-    return [*(text or "").encode().lower().split(), _END_TOKEN]
-
-
 @dataclass
 class Vocabulary:
     """Counts of the frequent words and what all tasks need of the others."""
@@ -135,33 +132,48 @@ class _Lookup(dict):
     rows = ROWS
 
     def __missing__(self, w: bytes) -> int:
-        h = zlib.crc32(w)
-        return (h % PARTS) << 36 | (h % self.rows) << 8 | _ending(w)
+        return self.every([w])[0]
+
+    def every(self, words: list[bytes]) -> list[int]:
+        """The numbers of words; no number is zero."""
+        known, hash_, rows = self.get, zlib.crc32, self.rows
+        return [known(w) or ((h := hash_(w)) % PARTS) << 36 | (h % rows) << 8 | SINGLES + hash_(w[-3:]) % ENDINGS for w in words]
 
 
 @dataclass
 class _Texts:
-    """The tokens of some texts, laid end to end, and the texts' sizes."""
+    """The tokens of some texts, laid end to end as places in ``distinct`` (the end first), and the texts' sizes."""
 
-    words: list[bytes]
+    distinct: pa.Array
+    which: np.ndarray
     size: np.ndarray
 
     @classmethod
     def of(cls, column: pa.Array) -> _Texts:
-        words: list[bytes] = []
-        size = []
-        for t in column.to_pylist():
-            own = tokens(t)
-            words += own
-            size.append(len(own))
-        return cls(words, np.array(size, np.int64))
+        """The words of texts, lower-cased, and an end after each text that no word equals."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+        flat, edges = split.flatten(), split.offsets.to_numpy()
+        full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # not those before and after all words
+        size = np.diff(np.concatenate([[0], full.cumsum()])[edges - edges[0]])
+        words = flat.filter(pa.array(full)).dictionary_encode()
+        which = np.zeros(len(words) + len(size), np.int64)
+        which[np.arange(len(words)) + np.repeat(np.arange(len(size)), size)] = words.indices.to_numpy() + 1
+        distinct = pa.concat_arrays([pa.array([_END_TOKEN], pa.binary()), words.dictionary.cast(pa.binary())])
+        return cls(distinct, which, size + 1)
 
     def codes(self, table: _Lookup) -> np.ndarray:
-        return np.fromiter(map(table.__getitem__, self.words), np.int64, len(self.words))
+        return np.array(table.every(self.distinct.to_pylist()), np.int64)[self.which]
+
+    def counted(self, at: np.ndarray) -> pa.Array:
+        """Each text's distinct tokens among the places ``at`` with their numbers, as lists of ``token, tf``."""
+        n = len(self.distinct)
+        found, tf = np.unique(np.repeat(np.arange(len(self.size)), self.size)[at] * n + self.which[at], return_counts=True)
+        each = pa.StructArray.from_arrays([self.distinct.take(pa.array(found % n)), pa.array(tf, pa.int64())], names=["token", "tf"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(found // n, np.arange(len(self.size) + 1)), pa.int32()), each)
 
     @property
     def begins(self) -> np.ndarray:
-        out = np.zeros(len(self.words), bool)
+        out = np.zeros(len(self.which), bool)
         out[self.size.cumsum() - self.size] = True
         return out
 
@@ -291,20 +303,23 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
     """``token`` (binary; empty: the end) and ``c`` over all texts; counted per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, weight = [], 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["token", "c"])
-            counts.clear()
-            return out
+            texts = _Texts.of(pa.concat_arrays(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([texts.distinct, pa.array(np.bincount(texts.which))], names=["token", "c"])
 
         for whole in batches:
             for batch in slices(whole, 1 << 22):
-                for t in batch.column(0).to_pylist():
-                    counts.update(tokens(t))
-                if len(counts) > 150_000:
+                if batch.num_rows:
+                    held.append(batch.column(0))
+                    weight += batch.nbytes
+                if weight >= COUNTED:
                     yield flush()
-        yield flush()
+                    weight = 0
+        if held:
+            yield flush()
 
     return train.select(text).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -402,7 +417,6 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
     words, model = context.broadcast(vocab), context.broadcast((_fixed(weights), bias))
     rare = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())]))
     schema = T.StructType([T.StructField("row", T.LongType()), *fields(docs, key, *extra), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("counted", T.DoubleType()), T.StructField("classed", T.DoubleType()), T.StructField("rare", rare)])
-    kind = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -431,14 +445,8 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
                         z = _fixed_scores(w[half:], share_[c[m]], a[:, m])
                         logp[i + m] += _log10(z, part[i + m])
                 logp -= log_mass[cls, part]
-                others = []
-                unknown = np.flatnonzero(rank == 0)
-                ends = np.searchsorted(unknown, [*first.tolist(), len(code)]).tolist()
-                unknown = unknown.tolist()
-                for lo, hi in zip(ends, ends[1:], strict=False):
-                    found = Counter(texts.words[i] for i in unknown[lo:hi])
-                    others.append([{"token": x, "tf": k} for x, k in found.items()])
-                made = [pa.array(row + np.arange(len(size))), *(batch.column(n) for n in (key, *extra)), pa.array(size), pa.array(np.add.reduceat((rank > 0).astype(np.int64), first)), pa.array(np.add.reduceat(log_count[rank], first)), pa.array(np.add.reduceat(logp, first)), pa.array(others, kind)]
+                others = texts.counted(np.flatnonzero(rank == 0))
+                made = [pa.array(row + np.arange(len(size))), *(batch.column(n) for n in (key, *extra)), pa.array(size), pa.array(np.add.reduceat((rank > 0).astype(np.int64), first)), pa.array(np.add.reduceat(log_count[rank], first)), pa.array(np.add.reduceat(logp, first)), others]
                 row += len(size)
                 yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
