@@ -38,11 +38,12 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +102,11 @@ class Vocabulary:
         """Rows of weights of each feature: the power of two from the root of the training tokens on."""
         return min(MAX_ROWS, max(ROWS, 1 << (math.isqrt(max(self.total, 1)) - 1).bit_length()))
 
+    @cached_property
+    def table(self) -> _Lookup:
+        """``lookup()``, made once a worker."""
+        return self.lookup()
+
     def lookup(self) -> _Lookup:
         table = _Lookup()
         rows = table.rows = self.rows
@@ -155,14 +161,14 @@ class _Texts:
         flat, edges = split.flatten(), split.offsets.to_numpy()
         full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # not those before and after all words
         size = np.diff(np.concatenate([[0], full.cumsum()])[edges - edges[0]])
-        words = flat.filter(pa.array(full)).dictionary_encode()
+        words = (flat if full.all() else flat.filter(pa.array(full))).dictionary_encode()
         which = np.zeros(len(words) + len(size), np.int64)
         which[np.arange(len(words)) + np.repeat(np.arange(len(size)), size)] = words.indices.to_numpy() + 1
         distinct = pa.concat_arrays([pa.array([_END_TOKEN], pa.binary()), words.dictionary.cast(pa.binary())])
         return cls(distinct, which, size + 1)
 
     def codes(self, table: _Lookup) -> np.ndarray:
-        return np.array(table.every(self.distinct.to_pylist()), np.int64)[self.which]
+        return np.array(table.every(self.distinct.to_numpy(zero_copy_only=False).tolist()), np.int64)[self.which]
 
     def counted(self, at: np.ndarray) -> pa.Array:
         """Each text's distinct tokens among the places ``at`` with their numbers, as lists of ``token, tf``."""
@@ -233,7 +239,7 @@ def _log10(z: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Logarithms of the softmax of ``z`` at ``of``; uses ``z`` up."""
     own = z[np.arange(len(of)), of]
     np.exp(z, out=z)
-    return (own - np.log(z @ np.ones(z.shape[1], np.float32))) / math.log(10)
+    return (own - np.log(np.einsum("ij->i", z))) / math.log(10)
 
 
 @lru_cache(1)
@@ -272,10 +278,10 @@ def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias:
     p = _scores(weights, bias, at)
     with np.errstate(over="ignore"):
         np.exp(p, out=p)
-        whole = p @ np.ones(k, np.float32)
+        whole = np.einsum("ij->i", p)
     if not (np.isfinite(whole) & (whole > 0)).all():  # far-off logits
         p = np.exp(np.clip(_scores(weights, bias, at), -LOGIT, LOGIT))
-        whole = p @ np.ones(k, np.float32)
+        whole = np.einsum("ij->i", p)
     p *= (DRAWS / whole)[:, None]
     miss = 1 - p[every, cls] / DRAWS
     noise = _noise()
@@ -350,12 +356,12 @@ def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
     return made
 
 
-def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Weights (of the classes, then of the parts) and the classes' bias after the training passes."""
+def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc_id", words: Broadcast | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (of the classes, then of the parts) and the classes' bias after the training passes; ``words``: ``vocab`` as broadcast before."""
     spark = train.sparkSession
     bias = np.log(vocab.mass.sum(1) / vocab.mass.sum()).astype(np.float32)
     weights = np.zeros((2 * FEATURES * vocab.rows, CLASSES), np.float32)
-    words = spark.sparkContext.broadcast(vocab)
+    words = words or spark.sparkContext.broadcast(vocab)
     blocks = 64
     part = len(weights) // blocks
     share = F.pmod(F.xxhash64(key), F.lit(WARM))
@@ -364,7 +370,7 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
         now = spark.sparkContext.broadcast(weights.astype(np.float16))
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            table, w = words.value.lookup(), now.value.astype(np.float32)
+            table, w = words.value.table, now.value.astype(np.float32)
             square, touched = np.full(len(w), 1.0, np.float32), np.zeros(len(w), np.int64)
             half, share_ = len(w) // 2, words.value.log_share()
             met = 0
@@ -381,7 +387,7 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
                         _descend(w[:half], square[:half], touched[:half], bias, a, cls, met)
                         m = np.flatnonzero((cls >= SINGLES) & (cls < END))
                         if len(m):
-                            _descend(w[half:], square[half:], touched[half:], share_[cls[m]], a[:, m], c[m] >> 36 & 0xFF, met)
+                            _descend(w[half:], square[half:], touched[half:], share_.take(cls[m], 0), a[:, m], c[m] >> 36 & 0xFF, met)
                         met += 1
             for b in range(blocks):
                 rows = np.flatnonzero(touched[b * part : (b + 1) * part]) + b * part
@@ -411,10 +417,10 @@ def fit(train: DataFrame, vocab: Vocabulary, text: str = "text", key: str = "doc
     return weights, bias
 
 
-def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.ndarray, key: str, text: str, extra: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, words: Broadcast, weights: np.ndarray, bias: np.ndarray, key: str, text: str, extra: list[str]) -> DataFrame:
     """Each text's class part, what frequent words give it, and its other words with their numbers."""
     context = docs.sparkSession.sparkContext
-    words, model = context.broadcast(vocab), context.broadcast((_fixed(weights), bias))
+    model = context.broadcast((_fixed(weights), bias))
     rare = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())]))
     schema = T.StructType([T.StructField("row", T.LongType()), *fields(docs, key, *extra), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("counted", T.DoubleType()), T.StructField("classed", T.DoubleType()), T.StructField("rare", rare)])
 
@@ -422,13 +428,13 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
         from pyspark import TaskContext
 
         voc, (w, b) = words.value, model.value
-        table = voc.lookup()
+        table = voc.table
         log_count = np.concatenate([[0.0], np.log10(voc.counts + PRIOR)])
         log_mass, share_ = voc.log_mass(), voc.log_share()
         half = len(w) // 2
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in slices(whole, 1 << 21):
+            for batch in slices(whole, 1 << 22):
                 if not batch.num_rows:
                     continue
                 texts = _Texts.of(batch.column(text))
@@ -442,7 +448,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, bias: np.nd
                     logp[i : i + STEP] = _log10(z, c)
                     m = np.flatnonzero((c >= SINGLES) & (c < END))
                     if len(m):
-                        z = _fixed_scores(w[half:], share_[c[m]], a[:, m])
+                        z = _fixed_scores(w[half:], share_.take(c[m], 0), a[:, m])
                         logp[i + m] += _log10(z, part[i + m])
                 logp -= log_mass[cls, part]
                 others = texts.counted(np.flatnonzero(rank == 0))
@@ -460,8 +466,9 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "t
     """
     counts = materialize(count_words(train, text), "counts")
     vocab = vocabulary(counts, top)
-    weights, bias = fit(train, vocab, text, key)
-    rows = materialize(_scored(docs, vocab, weights, bias, key, text, list(extra)), "scored")
+    words = docs.sparkSession.sparkContext.broadcast(vocab)
+    weights, bias = fit(train, vocab, text, key, words)
+    rows = materialize(_scored(docs, words, weights, bias, key, text, list(extra)), "scored")
     each = rows.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf").join(counts, "token", "left")
     seen = F.coalesce("c", F.lit(0))
     others = each.groupBy("row").agg(F.sum(F.col("tf") * F.log10(seen + PRIOR)).alias("more"), F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("known_more"))
