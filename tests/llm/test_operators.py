@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -608,3 +609,22 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
         monkeypatch.setattr(jaccard, name, value)
     got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: root(i) for i in sets}
+
+
+def test_texts_split_as_bytes_do():
+    rng = random.Random(3)
+    texts = [None, "", " ", "  A b\ta ", "É x\x85 y\x1cZ  ", "\x0b\x0c\r\n q Q", "a" * 300_000 + " B"]
+    texts += ["".join(rng.choice("aB \t\nçx  ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for skip in (0, 4):
+        own = texts[skip:]
+        got = maxent._Texts.of(pa.array(texts, pa.string())[skip:])
+        assert list(got.size) == [len((t or "").encode().split()) + 1 for t in own]
+        words = [w for t in own for w in [*(t or "").encode().lower().split(), b""]]
+        distinct = got.distinct.to_pylist()
+        assert [distinct[k] for k in got.which] == words
+        at = np.arange(0, len(words), 3)
+        of = np.repeat(np.arange(len(own)), got.size)
+        for i, found in enumerate(got.counted(at).to_pylist()):
+            assert {r["token"]: r["tf"] for r in found} == Counter(words[k] for k in at if of[k] == i)
+    none = maxent._Texts.of(pa.array([], pa.string()))
+    assert not len(none.which) and not len(none.size)
