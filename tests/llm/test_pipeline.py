@@ -1,11 +1,12 @@
 """The pipeline's stages, each against a plain version on its own input, and the queries that have SQL."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webloom.llm import queries, toxicity
+from webloom.llm import common, queries, toxicity
 
 
 def test_stages(spark, small):
@@ -90,3 +91,32 @@ def test_queries_keep_their_contracts(spark, small):
         assert columns <= set(df.columns)
         if name != "op8_neighbours":
             assert df.count() == n
+
+
+def test_workers_give_back_what_a_task_freed():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    held = []
+
+    def run(batches):
+        blocks = [np.ones(8192) for _ in range(4096)]  # 268 MB, in pieces that the C library does not map one by one
+        held.append([np.ones(8192) for _ in range(64)])  # lies above them and keeps them from going by themselves
+        yield len(blocks)
+
+    before = resident()
+    assert list(common.trimmed(run)(iter([]))) == [4096]
+    assert resident() - before < 100
+
+
+def test_every_stage_trims_its_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two three four five six seven " * (i % 3), "en", "web", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars int")
+    seen, kind = [], type(docs)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, **b: seen.append(run) or plain(self, run, *a, **b))
+    corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    corpus_pipeline.mask_personal_data(spark, docs, "")
+    corpus_pipeline.tokenize(spark, docs, "")
+    toxicity.reject(docs, toxicity.Lexicon({}))
+    assert len(seen) > 10 and all(hasattr(run, "__wrapped__") for run in seen)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import slices, small_batches, trimmed
 
 #: Texts above so many characters are encoded in pieces of about this size.
 PIECE = 1 << 16
@@ -110,7 +110,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
                     made.append(pa.array([_raw(enc, x) for x in packed], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -128,4 +128,4 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
                 made = pa.array([_raw(enc, x) for x in part.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)

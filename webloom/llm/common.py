@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +91,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, _WRITING[key])
 
 
+def trim() -> None:
+    """Give back to the system what this process has freed: Arrow's pool, then the C library's heap where it is glibc's."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, then ``trim``: a worker outlives its task, and what it keeps counts while others, and later stages, run."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
     """``fn`` over the Arrow batches of ``df``; it sees whole rows and keeps no state."""
     small_batches(df.sparkSession)
@@ -100,7 +123,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, fields, map_arrow, materialize, slices
+from .common import discard, fields, map_arrow, materialize, slices, trimmed
 from .components import components, extended
 
 WORDS = 5
@@ -174,9 +174,9 @@ def _sketch(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([(2 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["block", "levels"])
 
-    parts = docs.select(text).mapInArrow(count, "block int, counts binary")
+    parts = docs.select(text).mapInArrow(trimmed(count), "block int, counts binary")
     levels = np.zeros(1 << bits, np.uint8)
-    for r in parts.repartition(blocks, "block").mapInArrow(merge, "block int, levels binary").collect():  # 2**bits bytes
+    for r in parts.repartition(blocks, "block").mapInArrow(trimmed(merge), "block int, levels binary").collect():  # 2**bits bytes
         levels[r.block * part : (r.block + 1) * part] = np.frombuffer(r.levels, np.uint8)
     return levels
 
@@ -220,7 +220,7 @@ def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
     often = hot.groupBy(F.col("x.prefix").alias("token")).agg((F.count(F.lit(1)) / TILE).cast("int").alias("deals")).where("deals > 1")  # no more rows than prefixes / TILE
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).join(F.broadcast(often), "token", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
     rows = rows.select("token", F.pmod("node", "deals").cast("int").alias("deal"), "n", "node", "deals", "pos")
-    return rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "node").mapInArrow(_runs(percent), "token long, deal int, n long, node long, pos int, prev long, pivot long, head boolean")
+    return rows.repartition("token", "deal").sortWithinPartitions("token", "deal", "n", "node").mapInArrow(trimmed(_runs(percent)), "token long, deal int, n long, node long, pos int, prev long, pivot long, head boolean")
 
 
 def _runs(percent: int):
@@ -385,7 +385,7 @@ def _verified(percent: int):
 def _exact(lists: DataFrame, docs: DataFrame, nodes: DataFrame, comp: DataFrame | None, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``a, b``: links among the pairs of ``lists`` (written), enough of them to join the components that all of them join."""
     place = ["token", "x", "y"]
-    members = need = materialize(lists.repartition(*place).sortWithinPartitions(*place).mapInArrow(_members, f"{_PLACE}, node long"), "members")
+    members = need = materialize(lists.repartition(*place).sortWithinPartitions(*place).mapInArrow(trimmed(_members), f"{_PLACE}, node long"), "members")
     used = materialize(nodes.join(need.select("node").distinct(), "node", "left_semi").select("node", "set", F.col("id").alias("rep")), "used")
     sets = materialize(_arrays(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), used, width).join(used.select("node", "set"), "set").select("node", "h"), "sets")
     if comp is not None:
@@ -395,7 +395,7 @@ def _exact(lists: DataFrame, docs: DataFrame, nodes: DataFrame, comp: DataFrame
     rows = need.join(sets, "node").select(*place, "node", F.coalesce("comp", "node").alias("comp"), "h", F.lit(None).cast("array<long>").alias("partners"))
     rows = rows.unionByName(lists.select(*place, F.col("a").alias("node"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("binary").alias("h"), "partners"))
     rows = rows.withColumn("late", F.col("h").isNull()).repartition(*place).sortWithinPartitions(*place, "late")
-    links = materialize(rows.mapInArrow(_verified(percent), "a long, b long"), "links")
+    links = materialize(rows.mapInArrow(trimmed(_verified(percent)), "a long, b long"), "links")
     discard(members, used, sets)
     return links
 
@@ -416,7 +416,7 @@ def _arrays(docs: DataFrame, used: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary())], names=["bits"])
 
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in used.select(place.alias("p")).mapInArrow(mark, "bits binary").toLocalIterator():
+    for r in used.select(place.alias("p")).mapInArrow(trimmed(mark), "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -543,8 +543,8 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         if len(wait[0]):
             yield _lists(wait[:4], wait[4])
 
-    lists = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, _LISTS)
-    return lists.repartition("a").sortWithinPartitions("a").mapInArrow(merge, _LISTS)
+    lists = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(trimmed(run), _LISTS)
+    return lists.repartition("a").sortWithinPartitions("a").mapInArrow(trimmed(merge), _LISTS)
 
 
 def _blocks(held: DataFrame, percent: int) -> DataFrame:

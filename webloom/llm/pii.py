@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, map_arrow, slices, small_batches
+from .common import fields, map_arrow, slices, small_batches, trimmed
 
 ACCEPT = 0.5
 CONTEXT_GAIN = 0.35
@@ -197,7 +197,7 @@ def mask(df: DataFrame, text: str = "text") -> DataFrame:
                 made = pa.array([t and masked(t) for t in batch.column(text).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([made if n == text else batch.column(n) for n in names], names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def counted(column: str, kind: str):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, id_crc, map_arrow, materialize, slices, small_batches
+from .common import fields, id_crc, map_arrow, materialize, slices, small_batches, trimmed
 
 #: Labelled rows that are read for learning, at most.
 MAX_ROWS = 16_000
@@ -170,7 +170,7 @@ def _counts(train: DataFrame) -> DataFrame:
                         yield flush()
         yield flush()
 
-    return train.mapInArrow(run, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return train.mapInArrow(trimmed(run), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def learn(train: DataFrame) -> Lexicon:
@@ -317,7 +317,7 @@ def reject(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float
                     keep.append(lexicon.probability(lexicon.strength(lexicon.hits(words, auto), len(words))) < threshold)
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def training_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
