@@ -628,3 +628,27 @@ def test_texts_split_as_bytes_do():
             assert {r["token"]: r["tf"] for r in found} == Counter(words[k] for k in at if of[k] == i)
     none = maxent._Texts.of(pa.array([], pa.string()))
     assert not len(none.which) and not len(none.size)
+
+
+def test_a_step_serves_all_features_at_once():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 8, 13, 4096):
+        flags = rng.random(n) < 0.03
+        assert maxent._set(flags).tolist() == np.flatnonzero(flags).tolist()
+    k, n, size = maxent.CLASSES, 300, maxent.FEATURES * maxent.ROWS
+    at = np.stack([f * maxent.ROWS + rng.integers(0, 40, n) for f in range(maxent.FEATURES)])
+    cls, bias = rng.integers(0, k, n), rng.normal(size=k).astype(np.float32)
+    w, sq, met = rng.normal(size=(size, k)).astype(np.float32), np.ones(size, np.float32), np.zeros(size, np.int64)
+    assert np.array_equal(maxent._gathered(w, at), w[at[0]] + w[at[1]] + w[at[2]] + w[at[3]])
+    p = np.exp(w[at].sum(0) + bias)
+    p *= (maxent.DRAWS / p.sum(1))[:, None]
+    miss = 1 - p[np.arange(n), cls] / maxent.DRAWS
+    token, column = np.nonzero(p > maxent._noise()[: n * k].reshape(n, k))
+    want = w.copy()
+    for rows in at:  # one feature after the other
+        total = np.bincount(rows, miss, size)
+        rate = maxent.RATE / np.sqrt(1 + np.bincount(rows, miss * total[rows] * 2 / k, size))[rows]
+        np.subtract.at(want, (rows[token], column), np.maximum(p[token, column], 1) / maxent.DRAWS * rate[token])
+        np.add.at(want, (rows, cls), rate)
+    maxent._descend(w, sq, met, bias, at, cls)
+    assert np.allclose(w, want, atol=1e-3) and met.sum() == maxent.FEATURES * n

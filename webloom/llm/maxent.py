@@ -209,11 +209,18 @@ def _context(code: np.ndarray, begins: np.ndarray, rows: int = ROWS) -> np.ndarr
     return out
 
 
+def _gathered(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of each token's rows."""
+    z, more = (np.empty((at.shape[1], weights.shape[1]), weights.dtype) for _ in range(2))
+    weights.take(at[0], 0, z, "clip")  # no row is outside, and other modes copy once more
+    for f in range(1, FEATURES):
+        z += weights.take(at[f], 0, more, "clip")
+    return z
+
+
 def _scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Logits."""
-    z = weights.take(at[0], 0)
-    for f in range(1, FEATURES):
-        z += weights.take(at[f], 0)
+    z = _gathered(weights, at)
     z += bias
     return z
 
@@ -226,9 +233,7 @@ def _fixed(weights: np.ndarray) -> np.ndarray:
 
 def _fixed_scores(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """``_scores`` of weights from ``_fixed``."""
-    z = weights.take(at[0], 0)
-    for f in range(1, FEATURES):
-        z += weights.take(at[f], 0)
+    z = _gathered(weights, at)
     out = z.astype(np.float32)
     out *= np.float32(1 / UNIT)
     out += bias
@@ -248,22 +253,13 @@ def _noise() -> np.ndarray:
     return np.random.default_rng(11).random(1 << 21, np.float32)
 
 
-@lru_cache(1)
-def _bits() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each byte: how many bits it has, where their places begin in a list, and that list."""
-    flags = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    n = flags.sum(1).astype(np.int64)
-    return n, n.cumsum() - n, np.nonzero(flags)[1]
-
-
 def _set(flags: np.ndarray) -> np.ndarray:
     """``np.flatnonzero`` of flags of which few are set."""
-    packed = np.packbits(flags, bitorder="little")
-    some = np.flatnonzero(packed)
-    of = packed[some]
-    count, begin, places = _bits()
-    n = count[of]
-    return np.repeat(some << 3, n) + places[np.repeat(begin[of] - (n.cumsum() - n), n) + np.arange(int(n.sum()))]
+    if len(flags) % 8:
+        flags = np.append(flags, np.zeros(-len(flags) % 8, bool))
+    some = np.flatnonzero(flags.view(np.uint64) != 0)
+    at = np.flatnonzero(flags.reshape(-1, 8).take(some, 0))
+    return (some.take(at >> 3) << 3) + (at & 7)
 
 
 def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias: np.ndarray, at: np.ndarray, cls: np.ndarray, seed: int = 0) -> None:
@@ -288,21 +284,21 @@ def _descend(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, bias:
     start = seed * 7919 % (len(noise) - min(n * k, len(noise)) + 1)
     hit = _set(p.ravel() > (noise[start : start + n * k] if n * k <= len(noise) else np.resize(noise, n * k)))
     of = hit // k
-    token = np.concatenate([of, every])
-    column = np.concatenate([hit - of * k, cls])
-    size = np.concatenate([np.maximum(p.ravel()[hit], 1) / DRAWS, np.full(n, -1, np.float32)])
-    flat = weights.reshape(-1)
-    for f in range(FEATURES):
-        rows = at[f]
-        # A row's gradient has about the length of its tokens' misses, added up, in two of its k places.
-        before = square.take(rows)
-        np.add.at(square, rows, miss)
-        own = (square.take(rows) - before) * (miss * np.float32(2 / k))
-        square[rows] = before
-        np.add.at(square, rows, own)
-        np.add.at(touched, rows, 1)
-        rate = RATE / np.sqrt(square.take(rows))
-        np.subtract.at(flat, (rows * k).take(token) + column, size * rate.take(token))
+    flat, p = weights.reshape(-1), p.ravel()
+    # Features have rows of their own, so one pass serves all.
+    rows = np.ascontiguousarray(at).reshape(-1)
+    off = np.tile(miss, FEATURES)
+    # A row's gradient has about the length of its tokens' misses, added up, in two of its k places.
+    before = square.take(rows)
+    np.add.at(square, rows, off)
+    own = (square.take(rows) - before) * (off * np.float32(2 / k))
+    square[rows] = before
+    np.add.at(square, rows, own)
+    np.add.at(touched, rows, 1)
+    rate = RATE / np.sqrt(square.take(rows))
+    first, rate = (rows * k).reshape(FEATURES, n), rate.reshape(FEATURES, n)
+    np.subtract.at(flat, (first.take(of, 1) + (hit - of * k)).reshape(-1), (np.maximum(p[hit], 1) / DRAWS * rate.take(of, 1)).reshape(-1))
+    np.add.at(flat, (first + cls).reshape(-1), rate.reshape(-1))
 
 
 def count_words(train: DataFrame, text: str = "text") -> DataFrame:
