@@ -109,6 +109,26 @@ def test_coloring_is_greedy_by_rank(spark):
     assert got == want and done.totals["colors"] == max(want.values())
 
 
+def test_coloring_steps_follow_blocks_not_chains(spark, monkeypatch):
+    """A clique's vertices wait for each other; they and a graph with coloured and unknown ends take a step a block."""
+    rng = random.Random(7)
+    edges = [(a, b) for a in range(12) for b in range(a)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(150)] + [(3, 99), (99, 4)]
+    v = spark.createDataFrame([(i, {5: 3, 40: 1, 41: 1}.get(i)) for i in range(60)], "id long, color int")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    one = coloring.color(v, e)
+    assert one.steps == 1
+    monkeypatch.setattr(coloring, "VERTICES", 15)
+    four = coloring.color(v, e)
+    rank = {r.id: (r.r, r.id) for r in v.select("id", F.pmod(F.xxhash64(F.lit(0), "id"), F.lit(1 << 31)).alias("r")).collect()}
+    want = {5: 3, 40: 1, 41: 1}
+    for i in sorted(rank.keys() - want.keys(), key=rank.get, reverse=True):
+        used = {want.get(b if a == i else a) for a, b in edges if i in (a, b) and a != b}
+        want[i] = next(c for c in range(1, 99) if c not in used)
+    for done in (one, four):
+        assert {r.id: r.color for r in done.vertices.collect()} == want and done.totals["colors"] == max(want.values())
+    assert four.steps == 4
+
+
 def test_link_store(spark):
     links = spark.createDataFrame([], "id string, url string, retrieved_at timestamp")
     batch = lambda *rows: spark.createDataFrame(rows, "url string, t string").select("url", F.col("t").cast("timestamp").alias("retrieved_at"))

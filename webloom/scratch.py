@@ -33,6 +33,13 @@ def cut(df: DataFrame, tag: str = "step", *by: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python gets batches of 4 MB in this session, unless it has a limit of its own; rows alone don't bound their bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(1 << 22))
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table that ``cut`` wrote and that nothing reads any more; others are left alone."""
     path = getattr(df, "_webloom_path", None)
