@@ -8,6 +8,8 @@ at a newline, attributes need double quotes, and a tag that merely begins with
 from __future__ import annotations
 
 import html
+import re
+from html import entities
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,7 @@ TITLE = r"(?id)<title.*?>(.*?)</title>"
 SILENT = r"(?is)<(script|style|title|noscript|iframe|object|embed|head\s*/)\b[^>]*>.*?</\1\s*>"
 #: Unicode white space.
 SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+REFERENCE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 TAG = r"(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>"
 
 
@@ -58,9 +61,19 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: html.unescape(x) if x else x)
 
 
-def unescaped(text: Column) -> Column:
-    """Entities decoded; texts without ``&`` don't leave the JVM's value."""
-    return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
+@F.pandas_udf(StringType())
+def _unescape_ended(text: pd.Series) -> pd.Series:
+    def one(m) -> str:
+        known = m[1][0] == "#" or m[1] + ";" in entities.html5
+        return html.unescape(m[0]) if known else m[0]
+
+    return text.map(lambda x: re.sub(REFERENCE, one, x) if x else x)
+
+
+def unescaped(text: Column, ended: bool = False) -> Column:
+    """Entities decoded, with ``ended`` only those that a semicolon ends; texts without ``&`` don't leave the JVM's value."""
+    decode = _unescape_ended if ended else _unescape
+    return F.when(text.contains("&"), decode(F.when(text.contains("&"), text))).otherwise(text)
 
 
 def escaped(text: Column) -> Column:
@@ -75,12 +88,12 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}++|{SPACE}++$", "")
 
 
-def title(page: Column) -> Column:
-    return trimmed(unescaped(collapsed(stripped(F.regexp_extract(page, TITLE, 1)))))
+def title(page: Column, ended: bool = False) -> Column:
+    return trimmed(unescaped(collapsed(stripped(F.regexp_extract(page, TITLE, 1))), ended))
 
 
-def text(page: Column) -> Column:
-    return trimmed(unescaped(collapsed(stripped(page))))
+def text(page: Column, ended: bool = False) -> Column:
+    return trimmed(unescaped(collapsed(stripped(page)), ended))
 
 
 def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", resolver: DataFrame | None = None) -> DataFrame:
