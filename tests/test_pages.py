@@ -211,3 +211,36 @@ def test_comparison_but_for_case(spark):
 def test_item_of_a_result_page(spark):
     got = spark.range(1).select(present.item(F.lit('/a?"b"'), F.lit("<T>"), F.lit("<em>x</em>")).alias("h")).first().h
     assert got == '<li><a href="/a?&#34;b&#34;">&lt;T&gt;</a><p><em>x</em></p></li>'
+
+
+def _metrics(df):
+    """The nodes of a plan, executed as one query would be."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_group_within_rows(spark):
+    """No exchange of words; keys that repeat are still one document's."""
+    rows = [(1, "the b a B"), (2, None), (3, ""), (4, "x " * 5000)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    one = textindex.postings(docs, "id", F.col("text"))
+    assert "Aggregate" not in _metrics(one)
+    got = {(r.id, r.term): (r.tf, r.positions) for r in one.collect()}
+    assert got == {(1, "b"): (2, [0, 1]), (4, "x"): (5000, list(range(5000)))}
+    few = {(r.id, r.term): r.tf for r in textindex.postings(docs, "id", F.col("text"), stop=False, places=False).collect()}
+    assert few == {(1, "the"): 1, (1, "b"): 2, (1, "a"): 1, (4, "x"): 5000}
+    twice = textindex.postings(docs.union(docs.where("id = 1")), "id", F.col("text"), stop=False, places=False)
+    assert {(r.id, r.term): r.tf for r in twice.where("id = 1").collect()} == {(1, "the"): 2, (1, "b"): 4, (1, "a"): 2}
+
+
+def test_index_is_written_without_sort_or_word_exchange(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), f"t{i}", "fox den fox") for i in range(20)], "link_id string, title string, content string")
+    seen = []
+    cut = textindex.cut
+    monkeypatch.setattr(textindex, "cut", lambda df, *a: seen.append((_metrics(df), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))) or cut(df, *a))
+    index = textindex.build(docs)
+    plan, writers = seen[0]
+    assert "Aggregate" not in plan and "Sort" not in plan and plan.count("Exchange") == 1 and int(writers) >= textindex.BUCKETS
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
+    rows = {(r.link_id, r.field, r.term): (r.tf, r.positions, r.length) for r in index.postings.where("link_id = '7'").collect()}
+    assert rows == {("7", "title", "t7"): (1, [0], 1), ("7", "content", "fox"): (2, [0, 2], 3), ("7", "content", "den"): (1, [1], 3)}
+    index.release()

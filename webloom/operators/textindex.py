@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.scratch import cut, release
+from webloom.functions.bind import let
+from webloom.scratch import cut, release, unsorted_writes
 
 PAGE = 10
 
@@ -55,14 +56,52 @@ def update_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
     return both.select("link_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("url", "title", "content")), F.coalesce("__s", "page_rank").alias("page_rank"), "indexed_at")
 
 
-def postings(docs: DataFrame, key: str, text: Column, stop: bool = True) -> DataFrame:
-    """``term, key, tf, positions`` of every document.
+def _grouped(words: Column, places: bool = True) -> Column:
+    """Array of ``term, tf`` and ``positions`` of an array of words, each term once.
 
-    Texts are dealt by their key, and occurrences are then grouped where they
-    are; keys are unique, as ``index`` leaves them.
+    Words are sorted within their row, and runs of equal ones are cut out: a
+    task needs no more memory than its largest text, and no exchange.
     """
-    each = docs.select(F.col(key), text.alias("__text")).repartition(key).select(key, F.posexplode(analyse(F.col("__text"), stop)).alias("pos", "term"))
-    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", key, "tf", "positions")
+
+    def runs(s: Column) -> Column:
+        term = (lambda e: e["term"]) if places else (lambda e: e)
+        starts = F.array_compact(F.transform(s, lambda e, i: F.when(~term(e).eqNullSafe(term(F.get(s, i - 1))), i)))
+
+        def run(b: Column) -> Column:
+            def one(x: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(b, j + 1), F.size(s)) - x
+                found = [term(F.get(s, x)).alias("term"), n.cast("long").alias("tf")]
+                return F.struct(*found, F.transform(F.slice(s, x + 1, n), lambda e: e["pos"]).alias("positions")) if places else F.struct(*found)
+
+            return F.transform(b, one)
+
+        return let(starts, run)
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))) if places else words), runs)
+
+
+def _counted(docs: DataFrame, key: str) -> tuple[int, bool]:
+    """The number of documents, and whether a key is found twice."""
+    found = docs.groupBy(key).count().agg(F.sum("count"), F.max("count")).first()
+    return found[0] or 0, (found[1] or 0) > 1
+
+
+def _merged(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of one document's term as one, where keys repeat."""
+    positions = [F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")] if "positions" in rows.columns else []
+    return rows.groupBy(*by).agg(F.sum("tf").alias("tf"), *positions)
+
+
+def postings(docs: DataFrame, key: str, text: Column, stop: bool = True, places: bool = True) -> DataFrame:
+    """``term, key, tf``, and with ``places`` ``positions``, of every document.
+
+    Texts are dealt by their key and then turned into postings row by row;
+    only where keys repeat, rows are grouped.
+    """
+    each = docs.select(F.col(key), text.alias("__text")).repartition(key).select(key, F.inline(_grouped(analyse(F.col("__text"), stop), places)))
+    if _counted(docs, key)[1]:
+        each = _merged(each, key, "term")
+    return each.select("term", key, "tf", *(["positions"] if places else []))
 
 
 #: Parts of an index's postings, by the hash of the term.
@@ -96,13 +135,19 @@ def _bucket() -> Column:
 
 
 def build(docs: DataFrame, key: str = "link_id", fields: tuple[str, ...] = ("title", "content"), stop: bool = True) -> Index:
-    """The index of ``docs``, whose keys are unique; every text is analysed once."""
+    """The index of ``docs``, whose keys are unique; every text is analysed once.
+
+    Each task writes its documents' postings to all buckets at once, without sorting or exchanging them.
+    """
+    count, repeated = _counted(docs, key)
     texts = docs.select(F.col(key), *(F.col(f).alias(f"__{i}") for i, f in enumerate(fields))).repartition(key)
     words = F.array(*(F.struct(F.lit(f).alias("field"), analyse(F.col(f"__{i}"), stop).alias("words")) for i, f in enumerate(fields)))
-    each = texts.select(key, F.explode(words).alias("f")).select(key, "f.field", F.size("f.words").alias("length"), F.posexplode("f.words").alias("pos", "term"))
-    rows = each.groupBy(key, "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    rows = rows.select("term", F.col(key), "field", "tf", "positions", "length", _bucket().alias("bucket")).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term")
-    return Index(cut(rows, "postings", "bucket"), key, tuple(fields), docs.count(), stop)
+    each = texts.select(key, F.explode(words).alias("f")).select(key, "f.field", F.size("f.words").alias("length"), F.inline(_grouped(F.col("f.words"))))
+    if repeated:
+        each = _merged(each, key, "field", "term", "length")
+    rows = each.select("term", F.col(key), "field", "tf", "positions", "length", _bucket().alias("bucket"))
+    with unsorted_writes(docs.sparkSession, BUCKETS):
+        return Index(cut(rows, "postings", "bucket"), key, tuple(fields), count, stop)
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(1 << 22))
 
 
+@contextmanager
+def unsorted_writes(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Meanwhile a task keeps a file of each of up to ``parts`` parts open, instead of sorting its rows by part."""
+    want = {"spark.sql.maxConcurrentOutputFileWriters": str(parts), "spark.sql.optimizer.plannedWrite.enabled": "false"}
+    had = {k: spark.conf.get(k, None) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table that ``cut`` wrote and that nothing reads any more; others are left alone."""
     path = getattr(df, "_webloom_path", None)
