@@ -17,10 +17,12 @@ def run_query(docs: DataFrame, text: str, offset: int = 0, size: int = textindex
     """
     query = textindex.Query.parse(text, offset)
     index = index or textindex.build(docs)
-    hits = textindex.search(docs, query, rank=rank, best_fields=best_fields, index=index)
+    light = docs.select("link_id", *(["page_rank"] if "page_rank" in docs.columns else []))  # texts are read for the page's hits only
+    hits = textindex.search(light, query, rank=rank, best_fields=best_fields, index=index)
     total = textindex.total(hits)
     terms = present.terms_of(text)
     summary = present.highlight(html.escaped(present.summary(F.col("content"), terms)), terms)
-    rows = textindex.page(hits, query, size=size).select("link_id", "url", present.title(F.col("title"), F.col("url")).alias("title"), summary.alias("summary"), "text_score", "score")
+    found = textindex.page(hits, query, size=size).select("link_id", "text_score", "score")
+    rows = docs.join(F.broadcast(found), "link_id").orderBy(F.desc("score"), F.desc("text_score"), "link_id").select("link_id", "url", present.title(F.col("title"), F.col("url")).alias("title"), summary.alias("summary"), "text_score", "score")
     shown = max(0, min(size, total - offset))
     return rows, present.pages(text, offset, shown, total, size)
