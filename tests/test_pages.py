@@ -244,3 +244,31 @@ def test_index_is_written_without_sort_or_word_exchange(spark, monkeypatch):
     rows = {(r.link_id, r.field, r.term): (r.tf, r.positions, r.length) for r in index.postings.where("link_id = '7'").collect()}
     assert rows == {("7", "title", "t7"): (1, [0], 1), ("7", "content", "fox"): (2, [0, 2], 3), ("7", "content", "den"): (1, [1], 3)}
     index.release()
+
+
+def test_links_visit_python_once(spark):
+    """One Python node a task, whatever bases and hosts need; addresses of IPv6 stay in the JVM."""
+    body = '<a href="x y">1</a>\n<a href="/z">2</a>\n<a rel=nofollow href="http://[fe80::1]/">3</a>\n<a href="http://[2001:db8::1]/q">4</a>'
+    bases = {1: "", 2: '<base href="../up">', 3: '<base href="//[bé">', 4: '<base href="http://[fe80::1]/d">', 5: '<base href="">'}
+    df = spark.createDataFrame([(k, "http://p.org/a/b", b + body) for k, b in bases.items()], "page_id long, url string, html string")
+    found = html.extract_links(df)
+    assert _metrics(found).count("ArrowEvalPython [") == 1
+    got = {k: [] for k in bases}
+    for r in found.orderBy("pos").collect():
+        got[r.page_id].append((r.url, r.nofollow))
+    last = ("http://[2001:db8::1]/q", False)
+    plain = [("http://p.org/a/x%20y", False), ("http://p.org/z", False), last]
+    assert got[1] == got[3] == got[5] == plain
+    assert got[2] == [("http://p.org/up/x%20y", False), ("http://p.org/z", False), last]
+    assert got[4] == [("http://[fe80::1]/d/x%20y", False), ("http://[fe80::1]/z", False), ("http://[fe80::1]/", True), last]
+
+
+def test_private_ipv6_in_the_jvm(spark):
+    yes = ["::1", "FE80::1", "febf:ffff::", "fe80::1%eth0", "fdff::", "::ffff:10.0.0.1", "::FFFF:a00:1", "0:0:0:0:0:0:0:1"]
+    no = ["::", "::2", "fec0::1", "fbff::1", "::ffff:8.8.8.8", "::10.0.0.1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4"]
+    none = [":", ":::", "::1\n", "::1%", "::1%a%b", "fe80::1/64", "1::2::3", "1:2:3:4:5:6:7", "1::2:3:4:5:6:7:8", "::12345", "::g", "::ffff:010.0.0.1", "::1.2.3", ":1.2.3.4", "host:80"]
+    df = spark.createDataFrame([(x,) for x in [*yes, *no, *none]], "ip string").select("ip", net.is_private(F.col("ip")).alias("p"))
+    assert "Python" not in _metrics(df)
+    got = {r.ip: r.p for r in df.collect()}
+    assert all(got[x] is True for x in yes) and all(got[x] is False for x in no) and all(got[x] is None for x in none)
+    assert spark.range(1).select(net.is_private(F.lit("2001:db8:7fff::"), ["2001:db8::/33"])).first()[0]

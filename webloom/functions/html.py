@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from webloom.scratch import small_batches
+
 from . import urls
 from .net import resolve_hosts
 
@@ -104,9 +106,10 @@ def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", page
     resolver is given and is dropped if one is.  Fragments go before links are
     compared.
     """
-    base = F.coalesce(urls.resolve(F.col(url), urls.with_slash(base_href(F.col(page)))), F.col(url))
-    each = pages.select(F.col(key), base.alias("base"), F.posexplode(anchors(F.col(page))).alias("pos", "a"))
-    each = each.select(key, "base", "pos", is_nofollow(F.col("a.tag")).alias("nofollow"), urls.resolve(F.col("base"), F.col("a.href")).alias("to"))
+    small_batches(pages.sparkSession)
+    each = pages.select(F.col(key), F.col(url).alias("page_url"), urls.with_slash(base_href(F.col(page))).alias("declared"), F.posexplode(anchors(F.col(page))).alias("pos", "a"))
+    each = each.select(key, "page_url", "declared", "pos", is_nofollow(F.col("a.tag")).alias("nofollow"), F.col("a.href").alias("href"))
+    each = urls.resolve_within(each, "page_url", "declared", "href")
     each = each.where(urls.is_web(F.col("to"))).withColumn("to_host", urls.host(F.col("to")))
     each = resolve_hosts(each, "to_host", resolver)
     public = ~F.coalesce("private", F.lit(resolver is not None))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from urllib.parse import quote, urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from .bind import let
 
@@ -48,25 +48,46 @@ def is_web(url: Column) -> Column:
     return scheme(url).isin("http", "https")
 
 
+def _joined(base: str | None, target: str | None) -> str | None:
+    if not base or not target:
+        return None
+    try:
+        made = urljoin(base, target)
+    except ValueError:
+        return None
+    head, sep, rest = made.partition("://")
+    if not sep:
+        return made
+    place, slash, path = rest.partition("/")
+    return head + sep + place + slash + quote(path, safe="/?#[]@!$&'()*+,;=%:~-._")
+
+
 def _absolute(base: pd.Series, target: pd.Series) -> pd.Series:
-    def one(b: str | None, t: str | None) -> str | None:
-        if not b or not t:
-            return None
-        try:
-            made = urljoin(b, t)
-        except ValueError:
-            return None
-        head, sep, rest = made.partition("://")
-        if not sep:
-            return made
-        place, slash, path = rest.partition("/")
-        return head + sep + place + slash + quote(path, safe="/?#[]@!$&'()*+,;=%:~-._")
-
-    return pd.Series([one(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
-
-
-# Not deterministic to the planner, so that it runs once for each row and is not copied into later expressions.
+    return pd.Series([_joined(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
+
+
+def _absolute_in(page: pd.Series, declared: pd.Series, target: pd.Series) -> pd.DataFrame:
+    """``base`` of the rows with a declared one, and ``to``: the target as seen from it or, without one, from the page."""
+    bases = [_joined(p, d) if d else None for p, d in zip(page, declared, strict=True)]
+    seen_from = [p if b is None else b for p, b in zip(page, bases, strict=True)]
+    return pd.DataFrame({"base": pd.Series(bases, dtype=object), "to": pd.Series([_joined(b, t) for b, t in zip(seen_from, target, strict=True)], dtype=object)})
+
+
+# Not deterministic to the planner, so that they run once for each row and are not copied into later expressions.
 _resolve = F.pandas_udf(_absolute, StringType()).asNondeterministic()
+_resolve_in = F.pandas_udf(_absolute_in, StructType().add("base", StringType()).add("to", StringType())).asNondeterministic()
+
+
+def _native(base: Column, target: Column) -> Column:
+    """``target`` as an absolute URL if it is plain ASCII and absolute or begins at the root, else null."""
+
+    def made(p: Column) -> Column:
+        b, t = p["b"], p["t"]
+        plain = t.rlike(r"^[!-~]+$") & ~t.rlike(r"(^|/)\.\.?(/|$|\?|#)") & ~t.rlike(r'["<>\\^`{|}]')
+        root = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        return F.when(plain, F.when(t.startswith("//"), F.concat(scheme(b), F.lit(":"), t)).when(t.rlike(_SCHEME), t).when(t.startswith("/") & (F.length(root) > 0), F.concat(root, t)))
+
+    return let(F.struct(base.alias("b"), target.alias("t")), made)
 
 
 def resolve(base: Column, target: Column) -> Column:
@@ -76,16 +97,25 @@ def resolve(base: Column, target: Column) -> Column:
     JVM; only others (relative paths, dot segments, characters to escape) go
     through Arrow.
     """
+    pair = F.struct(base.alias("b"), target.alias("t"))
+    other = let(pair, lambda p: F.when(_native(p["b"], p["t"]).isNull() & (F.length(p["t"]) > 0), p))
+    return F.coalesce(_native(base, target), _resolve(other["b"], other["t"]))
 
-    def native(p: Column) -> Column:
-        b, t = p["b"], p["t"]
-        plain = t.rlike(r"^[!-~]+$") & ~t.rlike(r"(^|/)\.\.?(/|$|\?|#)") & ~t.rlike(r'["<>\\^`{|}]')
-        root = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-        return F.when(plain, F.when(t.startswith("//"), F.concat(scheme(b), F.lit(":"), t)).when(t.rlike(_SCHEME), t).when(t.startswith("/") & (F.length(root) > 0), F.concat(root, t)))
 
-    def rest(p: Column) -> Column:
-        return F.when(native(p).isNull() & (F.length(p["t"]) > 0), p)
+def resolve_within(rows: DataFrame, page: str, declared: str, target: str) -> DataFrame:
+    """``rows`` with ``base``, the declared base as seen from ``page`` or else ``page``, and ``to``, the target as seen from that.
 
-    pair = F.struct(base.alias("b"), target.alias("t"))
-    other = let(pair, rest)
-    return F.coalesce(let(pair, native), _resolve(other["b"], other["t"]))
+    As ``resolve`` twice, but in one visit to Python: what a task's worker
+    takes is taken once.
+    """
+    p, d, t = F.col(page), F.col(declared), F.col(target)
+    rows = rows.withColumn("__near", _native(p, d))
+    rows = rows.withColumn("__open", F.col("__near").isNull() & (F.coalesce(F.length(d), F.lit(0)) > 0))
+    rows = rows.withColumn("__near", F.when(~F.col("__open"), F.coalesce("__near", p)))
+    rows = rows.withColumn("__to", _native(F.col("__near"), t))
+    asks = F.col("__open") | F.col("__to").isNull() & (F.length(t) > 0)
+    made = _resolve_in(F.when(asks, F.coalesce("__near", p)), F.when(F.col("__open"), d), F.when(asks, t))
+    rows = rows.withColumn("__made", made)
+    rows = rows.withColumn("base", F.coalesce("__near", F.col("__made.base"), p))
+    to = F.coalesce(F.when(F.col("__open"), _native(F.col("base"), t)).otherwise(F.col("__to")), F.col("__made.to"))
+    return rows.withColumn("to", to).drop("__near", "__open", "__to", "__made")
